@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from codexflow.llm.html_text import op4_html_template
+from codexflow.llm.media import op10_mpeg_audio
 from codexflow.llm.packing import op6_pack_dominance
+from codexflow.llm.quality import op3_quality_bt
+from codexflow.llm.secrets import op7_secret_worklist
 from codexflow.llm.token_counts import op8_token_histogram
 from codexflow.llm.token_output import op1_token_binary
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op6_pack_dominance, op8_token_histogram)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_binary, op3_quality_bt, op4_html_template, op6_pack_dominance, op7_secret_worklist, op8_token_histogram, op10_mpeg_audio)
+}
 ORACLE_SQL: dict[str, str] = {}
