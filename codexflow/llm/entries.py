@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from codexflow.llm.html_text import op4_html_template
 from codexflow.llm.media import op10_mpeg_audio
+from codexflow.llm.near_dedup import OP2_SQL, op2_minhash_tensor
 from codexflow.llm.packing import op6_pack_dominance
 from codexflow.llm.quality import op3_quality_bt
 from codexflow.llm.secrets import op7_secret_worklist
@@ -12,6 +13,6 @@ from codexflow.llm.token_output import op1_token_binary
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_binary, op3_quality_bt, op4_html_template, op6_pack_dominance, op7_secret_worklist, op8_token_histogram, op10_mpeg_audio)
+    for f in (op1_token_binary, op2_minhash_tensor, op3_quality_bt, op4_html_template, op6_pack_dominance, op7_secret_worklist, op8_token_histogram, op10_mpeg_audio)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_minhash_tensor": OP2_SQL}
