@@ -293,9 +293,11 @@ def drop_near_copies(documents: DataFrame, words: int = 5) -> DataFrame:
 
     Of rows that share the kept ``doc_id`` one is left; rows without an id stay.
     """
-    found = dedup(documents, words).filter("kept").select("doc_id").distinct()
-    with_id = documents.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(documents.filter("doc_id is null")).select(documents.columns)
+    found = common.write_table(dedup(documents, words).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    kept = documents.join(found, "doc_id", "left_semi")
+    if found.filter("rows > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(documents.filter("doc_id is null")).select(documents.columns)
 
 
 def op2_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +310,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s FROM words
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
 ), parts AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 pairs AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM parts a JOIN parts b ON a.g = b.g AND a.doc_id <> b.doc_id
