@@ -87,7 +87,7 @@ def normalize_authors(c: Column) -> Column:
 
 def names(c: Column) -> Column:
     """The names of an author field."""
-    return F.filter(F.transform(F.split(text(c), " and "), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text(c), " and "), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def person(c: Column) -> Column:
@@ -109,7 +109,7 @@ def surname(c: Column) -> Column:
 
 def relation_values(c: Column) -> Column:
     """Keys in a relation field, split at line ends, semicolons and commas."""
-    return F.filter(F.transform(F.split(text(c), "[\n;,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text(c), "[\n;,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tokens(c: Column) -> Column:

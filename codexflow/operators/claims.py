@@ -37,7 +37,7 @@ def body(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The sentences that may be claims: no headings, no shouted lines."""
-    parts = F.transform(F.split(F.regexp_replace(body(text), r"\s+", " "), BREAK), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(body(text), r"\s+", " "), BREAK), lambda x: F.trim(x))
     return F.filter(parts, lambda s: (s != "") & ~((F.upper(s) == s) & (F.length(s) > 24)) & ~s.rlike(NO_CLAIM) & ~s.rlike(HEADER))
 
 

@@ -66,7 +66,8 @@ def verify(queries: DataFrame, candidates: DataFrame, keep: int = 4) -> DataFram
     c = candidates.select("citation_key", "title", "author", "year", "doi")
     pairs = candidate_pairs(queries, candidates).join(q, "query_id").join(c, "citation_key")
     score = match_score(F.col("q_title"), F.col("q_author"), F.col("q_year"), F.col("title"), F.col("author"), F.col("year"))
-    pairs = pairs.withColumn("score", F.round(score, 4))
+    # Sharing a rare word is necessary; the shared part decides.
+    pairs = pairs.filter(T.overlap(T.tokens(F.col("q_title")), T.tokens(F.col("title"))) >= 0.5).withColumn("score", F.round(score, 4))
     # Works that agree in doi, title and year count once.
     same = Window.partitionBy("query_id", F.lower(T.text("doi")), T.collapse(F.lower(T.text("title"))), T.text("year")).orderBy("citation_key")
     pairs = pairs.withColumn("_s", F.row_number().over(same)).filter("_s = 1")
