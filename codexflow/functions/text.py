@@ -41,6 +41,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(c: Column, f) -> Column:
+    """``f`` of a value that is computed once for a row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def filled(c: Column | str) -> Column:
     """The trimmed value, or null if it is missing or blank."""
     return F.nullif(F.trim(text(c)), F.lit(""))
@@ -183,9 +188,8 @@ def related_terms() -> dict[str, list[str]]:
 def expanded_terms(c: Column) -> Column:
     """Keyword terms with their related words."""
     table = F.create_map(*[x for k, v in related_terms().items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    terms = keyword_terms(c)
-    more = F.flatten(F.transform(terms, lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>"))))
-    return F.array_distinct(F.concat(terms, more))
+    more = lambda terms: F.flatten(F.transform(terms, lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>"))))
+    return let(keyword_terms(c), lambda terms: F.array_distinct(F.concat(terms, more(terms))))
 
 
 def catalog_tokens(c: Column) -> Column:
@@ -200,12 +204,11 @@ def author_tokens(c: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """The share of ``a`` that ``b`` has; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(s["a"], s["b"])) / F.greatest(F.size(s["a"]), F.lit(1))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(both, F.lit(1)))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.coalesce(F.try_divide(F.size(F.array_intersect(s["a"], s["b"])), F.size(F.array_union(s["a"], s["b"]))), F.lit(0.0)))
 
 
 def initials(c: Column) -> Column:

@@ -57,11 +57,12 @@ def is_claim(s: Column, least: Column | int) -> Column:
 
 def need_score(s: Column) -> Column:
     """How much a claim needs support."""
-    m, n = markers(s), F.length(s)
-    marked = F.greatest(F.lit(0.25), 1.5 - F.least(F.size(m), F.lit(3)) * 0.35) + F.when(F.exists(m, lambda x: x.rlike(r"^\d+$")), 0.35).otherwise(0.0)
+    n = F.length(s)
+    some = lambda m: F.greatest(F.lit(0.25), 1.5 - F.least(F.size(m), F.lit(3)) * 0.35) + F.when(F.exists(m, lambda x: x.rlike(r"^\d+$")), 0.35).otherwise(0.0)
+    marked = T.let(markers(s), lambda m: F.when(F.size(m) == 0, 3.0).otherwise(some(m)))
     length = F.when(n >= 220, 1.25).when(n >= 140, 0.85).when(n >= 90, 0.45).otherwise(0.0)
     signals = F.least(F.regexp_count(s, F.lit(SIGNAL)), F.lit(6)) * 0.25
-    return F.when(F.size(m) == 0, 3.0).otherwise(marked) + length + signals + F.when(s.contains(","), 0.2).otherwise(0.0) + F.when(F.lower(s).rlike(HINTS), 0.3).otherwise(0.0)
+    return marked + length + signals + F.when(s.contains(","), 0.2).otherwise(0.0) + F.when(F.lower(s).rlike(HINTS), 0.3).otherwise(0.0)
 
 
 def _continues(last: Column, s: Column, least: int) -> Column:

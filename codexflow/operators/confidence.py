@@ -42,7 +42,7 @@ def calibration_rows(outcomes: DataFrame, assessments: DataFrame) -> DataFrame:
 
 def payload(columns: list[str]) -> Column:
     """A row as JSON without nulls and empty values; zeros stay."""
-    return F.to_json(F.struct(*[F.nullif(c, F.lit("")).alias(c) for c in columns]), {"ignoreNullFields": "true"})
+    return F.to_json(F.struct(*[F.when(F.col(c).cast("string") != "", F.col(c)).alias(c) for c in columns]), {"ignoreNullFields": "true"})
 
 
 def annotations(conflicts: DataFrame, log: DataFrame) -> DataFrame:

@@ -28,9 +28,9 @@ def query_fields(value: Column) -> Column:
 def match_score(q_title: Column, q_author: Column, q_year: Column, c_title: Column, c_author: Column, c_year: Column) -> Column:
     """How well a candidate fits: title words, first author's surname, year."""
     share = T.overlap(T.tokens(q_title), T.tokens(c_title))
-    title = F.when(share >= 0.9, 0.55).when(share >= 0.7, 0.40).when(share >= 0.5, 0.20).otherwise(0.0)
-    mine = T.surname(F.get(T.names(q_author), 0))
-    author = F.when((mine != "") & (mine == T.surname(F.get(T.names(c_author), 0))), 0.25).otherwise(0.0)
+    title = T.let(share, lambda x: F.when(x >= 0.9, 0.55).when(x >= 0.7, 0.40).when(x >= 0.5, 0.20).otherwise(0.0))
+    mine, other = T.surname(F.get(T.names(q_author), 0)), T.surname(F.get(T.names(c_author), 0))
+    author = T.let(mine, lambda x: F.when((x != "") & (x == other), 0.25).otherwise(0.0))
     a, b = F.trim(T.text(q_year)), F.trim(T.text(c_year))
     near = F.coalesce(F.abs(a.try_cast("int") - b.try_cast("int")) == 1, F.lit(False))
     year = F.when((a == "") | (b == ""), 0.0).when(a == b, 0.15).when(near, 0.07).otherwise(0.0)

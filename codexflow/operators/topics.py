@@ -50,13 +50,16 @@ def stage_phrases(topics: DataFrame, staged: DataFrame) -> DataFrame:
 
 def relevance(phrase: Column, title="title", abstract="abstract", keywords: Column | None = None, venue: Column | None = None) -> Column:
     """How near an entry is to a phrase, from 0 to 1: overlap of stems with related words."""
-    terms = T.expanded_terms(phrase)
-    part = lambda c: T.overlap(terms, T.expanded_terms(T.text(c)))
-    score = 0.6 * part(title) + 0.25 * part(abstract)
-    score = score + 0.1 * (part(keywords) if keywords is not None else F.lit(0.0)) + 0.05 * (part(venue) if venue is not None else F.lit(0.0))
     low = lambda c: T.normalize_text(F.lower(T.text(c)))
-    within = (low(phrase) != "") & (low(title) != "") & low(title).contains(low(phrase))
-    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.when(within, F.greatest(score, F.lit(0.75))).otherwise(score)))
+    within = T.let(F.struct(low(phrase).alias("p"), low(title).alias("t")), lambda s: (s["p"] != "") & (s["t"] != "") & s["t"].contains(s["p"]))
+
+    def scored(terms):
+        part = lambda c: T.overlap(terms, T.expanded_terms(T.text(c)))
+        score = 0.6 * part(title) + 0.25 * part(abstract)
+        score = score + 0.1 * (part(keywords) if keywords is not None else F.lit(0.0)) + 0.05 * (part(venue) if venue is not None else F.lit(0.0))
+        return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(score, F.when(within, 0.75).otherwise(0.0))))
+
+    return T.let(T.expanded_terms(phrase), scored)
 
 
 def title_anchor(phrase: Column, title: Column) -> Column:
@@ -64,7 +67,8 @@ def title_anchor(phrase: Column, title: Column) -> Column:
     low = lambda c: T.normalize_text(F.lower(T.text(c)))
     core = F.array_except(T.keyword_terms(phrase), F.array(*map(F.lit, GENERIC)))
     share = T.overlap(core, T.keyword_terms(title))
-    return F.when((low(phrase) != "") & (low(title) != "") & low(title).contains(low(phrase)), 1.0).when(share > 0, F.greatest(F.lit(0.25), share)).otherwise(0.0)
+    within = T.let(F.struct(low(phrase).alias("p"), low(title).alias("t")), lambda s: (s["p"] != "") & (s["t"] != "") & s["t"].contains(s["p"]))
+    return F.when(within, 1.0).otherwise(T.let(share, lambda x: F.when(x > 0, F.greatest(F.lit(0.25), x)).otherwise(0.0)))
 
 
 def assign(entries: DataFrame, phrase: Column, least: float = 0.2) -> DataFrame:
