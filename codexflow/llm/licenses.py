@@ -68,13 +68,23 @@ def template_weights(templates: dict[str, str]) -> tuple[list[tuple[str, str, fl
     return rows, idf, math.log(1 + n) + 1
 
 
-def score_units(units: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """Cosines of ``unit`` texts: the keys (all columns but ``unit``), ``license`` and ``score``."""
+def score_units(units: DataFrame, templates: dict[str, str], least: float = 0.0) -> DataFrame:
+    """Cosines of ``unit`` texts: the keys (all columns but ``unit``), ``license`` and ``score``.
+
+    All that reach ``least`` are there, lower ones not always.
+    """
     spark = units.sparkSession
     rows, idf, unseen = template_weights(templates)
     keys = [c for c in units.columns if c != "unit"]
     words = F.filter(F.regexp_extract_all(F.lower("unit"), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(*sorted(STOP)))
-    terms = units.select(*keys, F.explode(words).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    units = units.select(*keys, words.alias("words"))
+    if least > 0:
+        # The cosine is at most that of the unit to its own template terms: long prose
+        # around a few of them can't reach the bound and is left out before any shuffle.
+        known = F.size(F.filter("words", lambda t: t.isin(*sorted(idf))))
+        others = F.size(F.array_distinct(F.filter("words", lambda t: ~t.isin(*sorted(idf)))))
+        units = units.filter(others * (unseen**2) <= (1 / least**2 - 1) * F.pow(known * max(idf.values()), F.lit(2)) * (1 + 1e-9))
+    terms = units.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     # The templates' terms: as many as the templates have.
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     weight = F.broadcast(spark.createDataFrame(rows, "license string, term string, weight double"))
@@ -99,7 +109,7 @@ def scan_files(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: f
         F.when(short, F.array(F.struct(F.lit("file").alias("kind"), F.col("text").alias("unit")))).otherwise(F.array()),
     )
     units = some.select("uid", F.posexplode(parts).alias("at", "part")).select("uid", "at", "part.kind", "part.unit")
-    found = score_units(units, templates).withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
+    found = score_units(units, templates, least - 1e-6).withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
     return found.groupBy("uid").agg(
         F.min(F.struct(-F.col("score"), "license")).alias("best"), F.max(F.col("kind") == "file").alias("is_file")
     ).select("uid", "best.license", (-F.col("best.col1")).alias("score"), "is_file")
