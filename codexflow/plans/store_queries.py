@@ -63,7 +63,7 @@ def list_topic_entries(spark, sf):
     return C.entries(spark, sf).join(C.entry_topics(spark, sf).filter("slug = 'src1'"), "citation_key").select("citation_key", "title", "year", "confidence")
 
 
-@query("SELECT e.citation_key, e.title, to_json(list({'slug': t.slug, 'name': t.name} ORDER BY t.slug)) AS topics FROM entries e JOIN entry_topics et USING (citation_key) JOIN topics t USING (slug) GROUP BY 1, 2")
+@query("SELECT e.citation_key, e.title, CAST(to_json(list({'slug': t.slug, 'name': t.name} ORDER BY t.slug)) AS VARCHAR) AS topics FROM entries e JOIN entry_topics et USING (citation_key) JOIN topics t USING (slug) GROUP BY 1, 2")
 def entry_with_topics(spark, sf):
     out = store.entry_with_topics(C.entries(spark, sf), C.entry_topics(spark, sf), C.topics(spark, sf))
     return out.select("citation_key", "title", F.to_json(F.transform("topics", lambda x: F.struct(x["slug"].alias("slug"), x["name"].alias("name")))).alias("topics"))
