@@ -63,6 +63,10 @@ class _Kept(dict):
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self._old = {}
+
 
 class Encoder:
     """Encodes texts to little-endian id bytes.
@@ -70,7 +74,7 @@ class Encoder:
     ``keep`` bounds the chunks and pieces remembered, so memory is bounded.
     """
 
-    def __init__(self, path: str, keeps_space: bool, keep: int = 400_000):
+    def __init__(self, path: str, keeps_space: bool, keep: int = 300_000):
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._keeps_space = keeps_space
@@ -121,6 +125,11 @@ class Encoder:
         first, *rest = text.split(" ")
         return (self._chunk(first) if first else b"") + b"".join(map(self._chunks.__getitem__, rest))
 
+    def forget(self) -> None:
+        """Give up what is remembered: a task's end, so that later stages have the memory."""
+        self._chunks.forget()
+        self._pieces.forget()
+
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a text as an array."""
         return np.frombuffer(self.encode(text), dtype=self.dtype)

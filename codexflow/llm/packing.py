@@ -191,6 +191,7 @@ def cut_pieces(documents: DataFrame, tokenizer: str = BYTE, capacity: int = CAPA
                     seen[n] += 1
             columns = list(zip(*out)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _TYPES)], _NAMES)
+        e.forget()
 
     docs = documents.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"))
     return docs.mapInArrow(encode, _PIECES)

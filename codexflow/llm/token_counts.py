@@ -33,6 +33,7 @@ def encoded_lengths(documents: DataFrame, tokenizer: str = BYTE) -> DataFrame:
         for batch in batches:
             n = [len(e.encode(t)) // e.dtype.itemsize for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(column(batch, "doc_id"), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+        e.forget()
 
     docs = documents.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"))
     return docs.mapInArrow(count, "doc_id long, n_tokens long")

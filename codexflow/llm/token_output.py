@@ -122,6 +122,7 @@ def write_token_files(documents: DataFrame, path: str | None = None, tokenizer:
                 ],
                 ["shard", "doc_id", "n_tokens", "order_key", "frame"],
             )
+        e.forget()
 
     def to_blocks(batches):
         shard, block, before, rows, held = None, 0, 0, [], 0
