@@ -44,14 +44,14 @@ from codexflow.llm.encode import _Kept, column
 HALF_KEYS, HALF_SIZE = 10, 2
 #: Leaders chosen in one bucket before the rest is compared in blocks.
 ROUNDS = 3
-#: Members in one block of the exact comparison.
-BLOCK = 256
+#: Shingles in one block of the exact comparison: a few MB, whatever the lengths.
+BLOCK = 400_000
 _TIGHT, _LOOSE = 50, 30
 
 _ROWS = 256
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
-_words = _Kept(lambda w: xxhash.xxh64_intdigest(w), 400_000)
+_words = _Kept(lambda w: xxhash.xxh64_intdigest(w), 200_000)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -109,6 +109,7 @@ def describe(documents: DataFrame, words: int, m: int = HALF_KEYS, t: int = HALF
                     [pa.array(column(batch, "doc_id"), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(half, pa.list_(pa.int64())), batch.column(2)],
                     ["doc_id", "n_shingles", "node", "half", "text_hash"],
                 )
+        _words.forget()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     return common.write_table(docs.mapInArrow(work, "doc_id long, n_shingles long, node long, half array<long>, text_hash long"), "shingles")
@@ -208,18 +209,18 @@ def _group_links(groups: DataFrame, roots: DataFrame, texts: DataFrame, words: i
     """Links between different components within groups ``(grp, node)``, compared in blocks.
 
     ``grp`` has its main component, that of its least node; members of others
-    are the queries. A block holds about ``BLOCK`` members or queries.
+    are the queries. A block holds about ``BLOCK`` shingles of members or queries.
     """
-    at = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = at.groupBy("grp").agg(F.min_by("root", "node").alias("main"), F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    at = at.join(sizes.select("grp", "main", "n"), "grp").withColumn("query", F.col("root") != F.col("main"))
-    queries = at.filter("query").groupBy("grp").agg(F.count("*").alias("q"))
+    at = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "n"), "node")
+    sizes = at.groupBy("grp").agg(F.min_by("root", "node").alias("main"), F.sum("n").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    at = at.join(sizes.select("grp", "main", "held"), "grp").withColumn("query", F.col("root") != F.col("main"))
+    asking = at.filter("query").groupBy("grp").agg(F.sum("n").alias("asked"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     place = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    at = at.join(queries, "grp")
-    data = at.select("grp", "node", "root", F.lit(False).alias("query"), place("n").alias("i"), every("q").alias("j"))
-    asked = at.filter("query").select("grp", "node", "root", F.lit(True).alias("query"), place("q").alias("j"), every("n").alias("i"))
+    at = at.join(asking, "grp")
+    data = at.select("grp", "node", "root", F.lit(False).alias("query"), place("held").alias("i"), every("asked").alias("j"))
+    asked = at.filter("query").select("grp", "node", "root", F.lit(True).alias("query"), place("asked").alias("j"), every("held").alias("i"))
     rows = data.unionByName(asked).join(texts.select("node", "packed"), "node")
 
     def compare(key, table):

@@ -60,7 +60,7 @@ def test_components_are_those_of_brute_force(spark):
 def test_blocks_and_left_over_buckets_find_the_same(spark):
     rows = corpus(9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    block, near_dedup.BLOCK = near_dedup.BLOCK, 7
+    block, near_dedup.BLOCK = near_dedup.BLOCK, 300
     try:
         described = near_dedup.describe(df, 4)
         for rounds in (1, 2):
