@@ -5,7 +5,13 @@ occurs in a document with at most k edits shares at least m - q + 1 - k * q of
 its q-grams with it, all on diagonals within k of each other. Shared q-grams
 are counted in overlapping bands of diagonals, 2 * (k + 1) wide; bands that
 reach the bound are verified by banded alignment. Nothing else is compared, and
-nothing that the lemma allows is left out.
+nothing that the lemma allows for these windows is left out.
+
+Windows are of two kinds. Long ones (120 characters, or the whole of a shorter
+item) may have 10 % of edits. Short ones (60 characters, started at most 5
+apart) may have half that share, so every stretch of 64 characters of an item
+holds one in full: a verbatim quote that long is found wherever it begins. The
+q-grams are kept once for each item, not for each window.
 
 The benchmark is taken in blocks of at most ``BLOCK_ITEMS`` items, each block
 against all documents in one pass, so what an executor holds is bounded.
@@ -39,6 +45,8 @@ from codexflow.llm.encode import column
 Q, EDITS = 8, 0.1
 #: Windows of longer items, and how far apart they start.
 WINDOW, STEP = 120, 60
+#: Short windows of items longer than one, how far apart they start, and their part of the share of edits.
+SHORT, SHORT_STEP, SHORT_PART = 60, 4, 0.5
 MIN_CHARS = 30
 BLOCK_ITEMS = 10_000
 
@@ -118,38 +126,59 @@ class Window:
     bound: int
 
 
+def _starts(n: int) -> tuple[list[int], list[int]]:
+    """Where the long and the short windows of an item of n characters start; no place is in both."""
+    long = [0] if n <= WINDOW else [*range(0, n - WINDOW, STEP), n - WINDOW]
+    taken = set(long)
+    # The first short one starts at 1, since a long one may be at 0; a taken place gives way to the next.
+    return long, [s + (s in taken) for s in range(1, n - SHORT + 1, SHORT_STEP)]
+
+
+class _Kind:
+    """Windows of one kind, in the order of items and starts; each item's have one length, budget and bound."""
+
+    def __init__(self, starts: list[list[int]], sizes: list[int], edits: float, q: int):
+        self.size = np.array(sizes, np.int64)
+        self.k = np.array([edit_budget(m, edits, q) for m in sizes], np.int64)
+        self.bound = self.size - q + 1 - self.k * q
+        self.item = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
+        self.at = np.array([s for some in starts for s in some], np.int64)
+        self.none = np.array([not s for s in starts], bool)
+
+
 class Index:
-    """The windows of one block of items and their q-grams."""
+    """The windows of one block of items, and the items' q-grams."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], edits: float = EDITS, q: int = Q):
-        self.q, self.windows = q, []
-        hashes, owner, place = [], [], []
-        for item_id, text in items:
-            x = codes((text or "").strip())
-            if len(x) < MIN_CHARS:
-                continue
-            starts = [0] if len(x) <= WINDOW else [*range(0, len(x) - WINDOW, STEP), len(x) - WINDOW]
-            for at in starts:
-                part = x[at : at + WINDOW]
-                k = edit_budget(len(part), edits, q)
-                g = grams(part, q)
-                hashes.append(g)
-                owner.append(np.full(len(g), len(self.windows)))
-                place.append(np.arange(len(g)))
-                self.windows.append(Window(item_id, at, part, k, len(part) - q + 1 - k * q))
+        self.q = q
+        kept = [(i, x) for i, x in ((i, codes((text or "").strip())) for i, text in items) if len(x) >= MIN_CHARS]
+        self.ids, self.codes = [i for i, _ in kept], [x for _, x in kept]
+        starts = [_starts(len(x)) for x in self.codes]
+        self.kinds = (
+            _Kind([a for a, _ in starts], [min(len(x), WINDOW) for x in self.codes], edits, q),
+            _Kind([b for _, b in starts], [min(len(x), SHORT) for x in self.codes], edits * SHORT_PART, q),
+        )
+        self.longest = max(map(len, self.codes), default=0)
+        hashes = [grams(x, q) for x in self.codes]
         g = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(g, kind="stable")
         self.grams, self.first, self.count = np.unique(g[order], return_index=True, return_counts=True)
-        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
+        self.owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
+        self.place = (np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64))[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.k = np.array([w.k for w in self.windows], np.int64)
-        self.bound = np.array([w.bound for w in self.windows], np.int64)
+
+    @property
+    def windows(self) -> list[Window]:
+        return [self._window(kind, w) for kind in self.kinds for w in range(len(kind.at))]
+
+    def _window(self, kind: _Kind, w: int) -> Window:
+        i, at = int(kind.item[w]), int(kind.at[w])
+        return Window(self.ids[i], at, self.codes[i][at : at + int(kind.size[i])], int(kind.k[i]), int(kind.bound[i]))
 
     def find(self, text: str | None) -> list[tuple[Window, int, int, int]]:
         """Windows found in a text: (window, edits, start, end), the best place of each."""
-        if not text or not self.windows:
+        if not text or not self.ids:
             return []
         x = codes(text)
         g = grams(x, self.q)
@@ -162,39 +191,50 @@ class Index:
         at, i = at[hit], i[hit]
         n = self.count[i]
         entry = np.repeat(self.first[i] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        window = self.owner[entry]
+        item, place = self.owner[entry], self.place[entry]
+        diagonal = np.repeat(at, n) - place
+        shared = np.bincount(item, minlength=len(self.ids))
+        return [f for kind in self.kinds for f in self._of_kind(kind, x, item, place, diagonal, shared)]
+
+    def _of_kind(self, kind: _Kind, x, item, place, diagonal, shared) -> list[tuple[Window, int, int, int]]:
         # Too few in the whole text are too few in any band.
-        many = np.bincount(window, minlength=len(self.windows)) >= self.bound
+        many = (shared >= kind.bound) & ~kind.none
         if not many.any():
             return []
-        some = many[window]
-        window, diagonal = window[some], (np.repeat(at, n) - self.place[entry])[some]
-        width = self.k[window] + 1
-        band = (diagonal + WINDOW) // width
-        stride = len(x) + 2 * WINDOW + 2
+        some = many[item]
+        item, place, diagonal = item[some], place[some], diagonal[some]
+        band = (diagonal + self.longest) // (kind.k[item] + 1)
+        stride = len(x) + 2 * self.longest + 2
         # Each shared q-gram counts in its own band and the one before, which overlap.
-        key = np.concatenate([window * stride + band, window * stride + np.maximum(band - 1, 0)])
+        key = np.concatenate([item * stride + band, item * stride + np.maximum(band - 1, 0)])
         keys, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        enough = counts >= self.bound[keys // stride]
+        enough = (counts >= kind.bound[keys // stride])[inverse]
         if not enough.any():
             return []
-        # A q-gram of the window counts once, however often the text repeats it.
-        place = np.tile(self.place[entry][some], 2)[enough[inverse]]
-        distinct = np.unique(inverse[enough[inverse]] * WINDOW + place) // WINDOW
-        enough = np.bincount(distinct, minlength=len(keys)) >= self.bound[keys // stride]
+        # A q-gram of the item counts once, however often the text repeats it.
+        wide = self.longest + 1
+        inverse, place = np.divmod(np.unique(inverse[enough] * wide + np.tile(place, 2)[enough]), wide)
+        # The windows that hold each q-gram: a run of those of its item.
+        item = keys[inverse] // stride
+        order = kind.item * wide + kind.at
+        low = np.searchsorted(order, item * wide + np.maximum(place + self.q - kind.size[item], 0))
+        n = np.maximum(np.searchsorted(order, item * wide + place, side="right") - low, 0)
+        window = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        pairs, counts = np.unique(np.repeat(inverse, n) * len(order) + window, return_counts=True)
+        enough = counts >= kind.bound[kind.item[pairs % len(order)]]
         found: dict[int, tuple[int, int, int]] = {}
-        for key in keys[enough]:
-            w, b = int(key // stride), int(key % stride)
+        for pair in pairs[enough]:
+            w, b = int(pair % len(order)), int(keys[pair // len(order)] % stride)
             if w in found and found[w][0] == 0:
                 continue
-            win = self.windows[w]
-            low = max(0, b * (win.k + 1) - WINDOW - win.k)
-            high = min(len(x), (b + 2) * (win.k + 1) - WINDOW + len(win.codes) + win.k)
+            win = self._window(kind, w)
+            first = win.at - self.longest + b * (win.k + 1)
+            low, high = max(0, first - win.k), min(len(x), first + 2 * (win.k + 1) + len(win.codes) + win.k)
             part = x[low:high]
             got = _equal(win.codes, part) or align(win.codes, part, win.k)
             if got and (w not in found or got[0] < found[w][0]):
                 found[w] = (got[0], low + got[1], low + got[2])
-        return [(self.windows[w], *f) for w, f in found.items()]
+        return [(self._window(kind, w), *f) for w, f in found.items()]
 
 
 def _blocks(benchmark: DataFrame) -> list[list[tuple[int | None, str | None]]]:

@@ -45,6 +45,20 @@ def test_windows_within_the_budget_are_found_and_no_others():
                 assert e == least == least_edits(pattern, x[a:b])
 
 
+def test_short_quotes_are_found_wherever_they_begin(spark):
+    rng = random.Random(5)
+    items = [(i, made(rng, rng.choice([12, 40, 60]))) for i in range(6)]
+    index = dc.Index(items)
+    for item_id, text in items:
+        for a in range(0, len(text) - 64 + 1, 7):
+            quote = text[a : a + 64]
+            found = index.find(made(rng, 10) + " " + quote + " " + made(rng, 10))
+            assert {w.item_id for w, *_ in found} == {item_id} and min(e for _, e, *_ in found) == 0, (len(text), a)
+    docs = [(i, made(rng, 30) + " " + text[len(text) // 2 - 40 : len(text) // 2 + 40] + " " + made(rng, 30)) for i, text in items if len(text) > 200] + [(99, made(rng, 80))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert [r.doc_id for r in dc.drop_contaminated(d, b).collect()] == [99] and len(docs) > 1
+
+
 def test_table(spark):
     rng = random.Random(3)
     items = [(1, made(rng, 30)), (1, made(rng, 30)), (2, None), (3, "short"), (None, made(rng, 20)), (5, "")]
