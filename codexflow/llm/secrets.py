@@ -21,6 +21,7 @@ import bz2
 import hashlib
 import lzma
 import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import deque
@@ -45,6 +46,11 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Two lines of base64 or more, of which only the last may be short.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{12,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{12,})*\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}")
+_LINE_BREAK = re.compile(r"\r?\n[ \t]*")
+#: Least share of readable characters in decoded base64 that isn't compressed.
+READABLE = 0.85
 
 
 def find_spans(text: str) -> list[tuple[str, int, int]]:
@@ -107,16 +113,14 @@ def decode_url(layer: Layer) -> Layer | None:
     changes = []
     for m in _URL.finditer(layer.text) if "%" in layer.text else ():
         raw = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            said = raw.decode()
-        except UnicodeDecodeError:
-            continue
         pieces, at = [], m.start()
-        for c in said:
-            n = 3 * len(c.encode())
-            pieces.append((c, at, at + n))
+        for c, size in _utf8(raw):
+            n = 3 * size
+            # Bytes that are no character stay as they were.
+            pieces.append((layer.text[at : at + n] if c is None else c, at, at + n))
             at += n
-        changes.append((*m.span(), pieces))
+        if any(layer.text[a:b] != said for said, a, b in pieces):
+            changes.append((*m.span(), pieces))
     return _replaced(layer, changes)
 
 
@@ -140,39 +144,85 @@ def decode_unicode(layer: Layer) -> Layer | None:
     return _replaced(layer, changes)
 
 
+def _utf8(raw: bytes) -> list[tuple[str | None, int]]:
+    """Characters and their bytes; a byte that is part of none gives None."""
+    return [(None, 1) if "\udc80" <= c <= "\udcff" else (c, len(c.encode())) for c in raw.decode("utf-8", "surrogateescape")]
+
+
+def _encoding(raw: bytes) -> str:
+    """UTF-16 by its mark or by zeros in every other place; else UTF-8."""
+    half = len(raw) // 2
+    little, big = raw[1::2].count(0), raw[: 2 * half : 2].count(0)
+    if raw[:2] == b"\xff\xfe" or little > 0.3 * half and big < 0.1 * little:
+        return "utf-16-le"
+    if raw[:2] == b"\xfe\xff" or big > 0.3 * half and little < 0.1 * big:
+        return "utf-16-be"
+    return "utf-8"
+
+
+def _utf16(raw: bytes, name: str) -> list[tuple[str | None, int]]:
+    said = raw[: len(raw) // 2 * 2].decode(name, "surrogatepass")
+    return [(None, 2) if "\ud800" <= c <= "\udfff" else (c, 4 if c > "\uffff" else 2) for c in said]
+
+
+def _unpacker(raw: bytes):
+    """A decompressor for data of a known format, or None."""
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 5 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if raw[:6] == b"\xfd7zXZ\0" else None
+
+
 def _unpack(raw: bytes) -> bytes | None:
-    """Decompress data of a known format; None if it is none or too large."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            made = zlib.decompressobj(31)
-        elif raw[:1] == b"\x78" and len(raw) > 5 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            made = zlib.decompressobj()
-        elif raw[:3] == b"BZh":
-            made = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\0":
-            made = lzma.LZMADecompressor()
-        else:
+    """Decompress all members of data of a known format; None if it is none or too large.
+
+    What follows the last whole member is left out.
+    """
+    out, size = [], 0
+    while (made := _unpacker(raw)) is not None:
+        try:
+            # A bound of 0 is none to zlib.
+            some = made.decompress(raw, MAX_UNPACKED - size + 1)
+        except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
+            break
+        size += len(some)
+        if size > MAX_UNPACKED:
             return None
-        out = made.decompress(raw, MAX_UNPACKED)
-        return out if made.eof else None
-    except (zlib.error, OSError, lzma.LZMAError, ValueError):
-        return None
+        if not made.eof:
+            break
+        out.append(some)
+        raw = made.unused_data.lstrip(b"\0")
+    return b"".join(out) if out else None
 
 
-def _as_text(raw: bytes) -> str | None:
-    """Bytes as readable text, or None."""
-    try:
-        said = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return said if said and all(c.isprintable() or c in "\t\n\r" for c in said) else None
+def _as_text(raw: bytes) -> list[tuple[str, int]] | None:
+    """Bytes as characters with the bytes of each, or None if they are no text.
 
+    Most characters must be readable, zeros aside; those that are none are replaced.
+    """
+    name = _encoding(raw)
+    said = _utf8(raw) if name == "utf-8" else _utf16(raw, name)
+    some = [c for c, _ in said if c != "\0"]
+    good = sum(c is not None and (c.isprintable() or c in "\t\n\r\f\v" or unicodedata.category(c) in ("Cf", "Zs", "Zl", "Zp")) for c in some)
+    return [("\ufffd" if c is None else c, n) for c, n in said] if good and good >= READABLE * len(some) else None
 
-def decode_base64(layer: Layer) -> Layer | None:
-    """Base64 of readable text, or of (repeatedly) compressed readable text."""
+
+def _decode_base64(layer: Layer, pattern: re.Pattern) -> Layer | None:
     changes = []
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
+    for m in pattern.finditer(layer.text):
+        # Where each character of the encoded form stands.
+        places, at = [], m.start()
+        for line in _LINE_BREAK.finditer(layer.text, *m.span()) if pattern is _WRAPPED else ():
+            places.append(range(at, line.start()))
+            at = line.end()
+        places.append(range(at, m.end()))
+        body = "".join(layer.text[r.start : r.stop] for r in places).rstrip("=")
+        if pattern is _WRAPPED and len(body) % 4 == 1:
+            # The last line is no part of it.
+            body = body[: sum(map(len, places[:-1]))]
         if len(body) % 4 == 1:
             continue
         try:
@@ -183,22 +233,31 @@ def decode_base64(layer: Layer) -> Layer | None:
         while (inner := _unpack(raw)) is not None and (key := hashlib.sha256(inner).digest()) not in seen:
             seen.add(key)
             raw, packed = inner, True
-        said = _as_text(raw)
-        if said is None:
-            continue
         if packed:
-            pieces = [(said, *m.span())]
+            # What was compressed is data in any case, and is taken whatever it holds.
+            pieces = [(raw.decode(_encoding(raw), "replace"), *m.span())]
+        elif (said := _as_text(raw)) is None:
+            continue
         else:
-            pieces, at = [], 0
-            for c in said:
-                n = len(c.encode())
-                a, b = at * 4 // 3, -(-(at + n) * 4 // 3)
-                pieces.append((c, m.start() + a, min(m.end(), m.start() + b)))
+            pieces, at, flat = [], 0, [i for r in places for i in r]
+            for c, n in said:
+                a, b = at * 4 // 3, min(len(flat), -(-(at + n) * 4 // 3))
+                pieces.append((c, flat[a], flat[b - 1] + 1))
                 at += n
         changes.append((*m.span(), pieces))
     return _replaced(layer, changes)
 
 
+def decode_base64(layer: Layer) -> Layer | None:
+    """Base64 of readable text, or of (repeatedly) compressed data."""
+    return _decode_base64(layer, _BASE64)
+
+
+def decode_wrapped(layer: Layer) -> Layer | None:
+    """The same of base64 that goes over several lines."""
+    return _decode_base64(layer, _WRAPPED) if "\n" in layer.text else None
+
+
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
     """Spans of the text itself, all spans with those of its layers, and the layers' number."""
     root = Layer(text or "")
@@ -206,7 +265,7 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     spans, seen, work = set(base), {hashlib.sha256(root.text.encode("utf-8", "surrogatepass")).digest()}, deque([root])
     while work:
         layer = work.popleft()
-        for decode in (decode_url, decode_unicode, decode_base64):
+        for decode in (decode_url, decode_unicode, decode_base64, decode_wrapped):
             inner = decode(layer)
             if inner is None or (key := hashlib.sha256(inner.text.encode("utf-8", "surrogatepass")).digest()) in seen:
                 continue

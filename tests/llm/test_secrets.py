@@ -63,6 +63,29 @@ def test_a_pair_beyond_the_base_plane():
     assert [text[a:b] for _, a, b in secrets.scan(text)[1]] == ["token=\\u0061bcdef"]
 
 
+def test_layers_with_odd_characters_lines_and_members():
+    b64 = lambda s: base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghij klmnop\n") for _ in range(600))
+    wrap = lambda s, n=64: "\n".join(s[i : i + n] for i in range(0, len(s), n))
+    for wrapped in (
+        *(b64("a" + c + "b " + SECRET + " and more") for c in "\u00a0\u200d\ufeff\f\0"), b64(b"caf\xe9 " + SECRET.encode() + b" and more"),
+        b64(SECRET.encode("utf-16")), b64(SECRET.encode("utf-16-le")), b64(SECRET.encode("utf-16-be")),
+        b64(gzip.compress(b"\x00\xff\x01" * 50 + SECRET.encode())), b64(gzip.compress(SECRET.encode("utf-16"))),
+        wrap(b64(gzip.compress((long + SECRET).encode()))), wrap(b64(bz2.compress((long + SECRET).encode())), 76).replace("\n", "\r\n"),
+        b64(gzip.compress(b"first") + gzip.compress(SECRET.encode())), b64(bz2.compress(b"first") + bz2.compress(SECRET.encode())),
+    ):
+        text = "\u00e9 before " + wrapped + " after"
+        base, spans, _ = secrets.scan(text)
+        assert not base and any(k == "assign" for k, *_ in spans), wrapped
+        assert all(9 <= a < b <= 9 + len(wrapped) for _, a, b in spans), (wrapped, spans)
+    text = "%70assword%3A%FFx %ff%70assword%3A%20hunter2secret"
+    assert [text[a:b] for _, a, b in secrets.scan(text)[1]] == ["%70assword%3A%20hunter2secret"]
+    # A secret that goes over the end of a line.
+    text = "x " + wrap(b64("some words before it, then the " + SECRET + " and so on and so on"), 48)
+    assert any(k == "assign" and "\n" in text[a:b] for k, a, b in secrets.scan(text)[1])
+
+
 def test_table(spark):
     rows = [(1, SECRET), (1, SECRET), (None, "é"), (3, None), (4, ""), (5, "word " * 40000 + SECRET), (6, base64.b64encode(SECRET.encode()).decode())]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as spans", "0L as n_chars")
