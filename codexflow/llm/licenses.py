@@ -47,7 +47,7 @@ TEMPLATES = {
 }
 #: Words without weight (fixed values).
 STOP = frozenset("a all and by for form forms in into is it of or the this to under use v with work".split())
-#: Least cosine of a notice; lines of a head; terms of a text that may be a licence file.
+#: Least cosine of a notice; lines of a head; terms of a text that the SQL takes as a licence file (the scan takes all).
 LEAST, HEAD_LINES, FILE_TERMS = 0.6, 12, 400
 
 
@@ -102,11 +102,10 @@ def scan_files(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: f
     some = files.select("uid", common.text_or_empty().alias("text")).filter(low.rlike(any_term)).withColumn("lines", F.split("text", "\n"))
     line = F.filter("lines", lambda x: F.lower(x).rlike(any_term))
     head = F.array_join(F.slice("lines", 1, HEAD_LINES), "\n")
-    short = F.size(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))) <= FILE_TERMS
     parts = F.concat(
         F.transform(line, lambda x: F.struct(F.lit("line").alias("kind"), x.alias("unit"))),
         F.array(F.struct(F.lit("head").alias("kind"), head.alias("unit"))),
-        F.when(short, F.array(F.struct(F.lit("file").alias("kind"), F.col("text").alias("unit")))).otherwise(F.array()),
+        F.array(F.struct(F.lit("file").alias("kind"), F.col("text").alias("unit"))),
     )
     units = some.select("uid", F.posexplode(parts).alias("at", "part")).select("uid", "at", "part.kind", "part.unit")
     found = score_units(units, templates, least - 1e-6).withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)

@@ -35,3 +35,13 @@ def test_cosines(spark):
     for uid, text in texts:
         for name in licenses.TEMPLATES:
             assert abs(got.get((uid, name), 0) - cosine(text, name)) < 1e-9
+
+
+def test_long_licence_files_speak_for_their_directory(spark):
+    full = "\n".join(f"Section {i} of the licence grants right{i} and denies claim{i * 7} under clause{i * 3}." for i in range(200))
+    templates = {**licenses.TEMPLATES, "Long-1.0": full}
+    rows = [(1, "a/LICENSE", "Copyright Someone\n" + full), (2, "a/b/x.py", "code"), (3, "c/x.py", "code")]
+    df = spark.createDataFrame(rows, "uid long, path string, text string")
+    assert len(licenses.terms_of(full)) > licenses.FILE_TERMS
+    got = {r.uid: (r.license, r.origin, r.from_path) for r in licenses.scan_licenses(df, templates).collect()}
+    assert got == {1: ("Long-1.0", "file", None), 2: ("Long-1.0", "inherited", "a/LICENSE"), 3: (None, "none", None)}
