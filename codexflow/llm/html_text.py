@@ -4,9 +4,10 @@ Each page is parsed once. Elements that are never main text by their kind or
 name (scripts, menus, forms, comments, adverts and so on) are left out; every
 other element subtree gets a hash of its tags and text. Spark counts on how
 many pages of a host each hash occurs, and subtrees that recur across many of
-them are deleted. Where a page marks its article, only containers within it
-count as template candidates, not its paragraphs: copies of an article on one
-host must not delete each other.
+them are deleted, paragraphs of an article like any other, but its h1. Pages with the same
+main part count once, so that copies of an article on one host don't delete each
+other. Where a page marks its article and that holds at least half of its text,
+what lies outside is left out.
 
 Nulls and edges: null html is the empty page, with text "" and 0 characters. A
 null url is a host of its own without templates. Rows that share a ``page_id``
@@ -40,7 +41,6 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre tr td th figcaption caption br b i em strong a span code sub sup small u q cite abbr mark time".split())
 #: Start tags that end an open element, up to the named enclosing one.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -156,13 +156,24 @@ def _hash(host: str, node: Node) -> int:
     return node.key
 
 
+def _letters(node: Node) -> int:
+    """Characters of the text below that can be main text, without white space."""
+    return sum(len("".join(x.split())) if isinstance(x, str) else 0 if x.drop or x.tag == "header" else _letters(x) for x in node.inside)
+
+
+def _tops(root: Node) -> list[Node]:
+    """The marked articles, or main parts, if they hold at least half of the page's text; else none."""
+    tops = _marked(root, ("article",), []) or _marked(root, ("main",), [])
+    return tops if 2 * sum(map(_letters, tops)) >= _letters(root) else []
+
+
 def blocks(source: str | None, host: str = "") -> list[tuple[str, list[int]]]:
     """The page's blocks of text in order, each with the keys of the subtrees around it.
 
     ``header`` is main text only for the headings of an article's own header.
     """
     root = parse(source or "")
-    tops = _marked(root, ("article",), []) or _marked(root, ("main",), [])
+    tops = _tops(root)
     in_article = bool(tops)
     out: list[tuple[str, list[int]]] = []
     parts: list[str] = []
@@ -177,7 +188,8 @@ def blocks(source: str | None, host: str = "") -> list[tuple[str, list[int]]]:
         block = node.tag in _BLOCK
         if block:
             flush()
-        own = node.tag not in _PROSE if in_article else node.tag not in ("html", "body")
+        # An article's title is its own, though others may have the same.
+        own = node.tag not in ("html", "body") and not (in_article and node.tag == "h1")
         if own:
             keys.append(node.key)
         for x in node.inside:
@@ -215,6 +227,12 @@ def blocks(source: str | None, host: str = "") -> list[tuple[str, list[int]]]:
     return out
 
 
+def _whole(found: list[tuple[str, list[int]]]) -> int:
+    """A signed 64-bit hash of a page's blocks."""
+    said = "\0".join(t for t, _ in found).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True)
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -223,8 +241,8 @@ def host_of(url: str | None) -> str:
 
 
 _ROWS = 128
-_PARSED = "uid long, page_id long, url string, host string, texts array<string>, keys array<array<long>>, page_keys array<long>"
-_PARSED_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
+_PARSED = "uid long, page_id long, url string, host string, texts array<string>, keys array<array<long>>, page_keys array<long>, whole long"
+_PARSED_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.int64()]
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -239,7 +257,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                     host = host_of(url)
                     found = blocks(source, host)
                     distinct = sorted({k for _, keys in found for k in keys}) if host else []
-                    out.append((task << 40 | n, page_id, url, host, [t for t, _ in found], [k for _, k in found], distinct))
+                    out.append((task << 40 | n, page_id, url, host, [t for t, _ in found], [k for _, k in found], distinct, _whole(found)))
                     n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), _PARSED_TYPES)], _PARSED_NAMES)
 
@@ -251,7 +269,8 @@ _PARSED_NAMES = [x.split()[0] for x in _PARSED.split(", ")]
 
 
 def find_templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host``, ``key`` and ``n_pages`` of the subtrees that recur across a host's pages."""
+    """``host``, ``key`` and ``n_pages`` of the subtrees that recur across a host's pages; equal pages count once."""
+    parsed = parsed.select("host", "whole", "page_keys").dropDuplicates(["host", "whole"])
     hosts = parsed.groupBy("host").agg(F.count("*").alias("host_pages"))
     counts = parsed.select("host", F.explode("page_keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n_pages"))
     many = counts.filter(F.col("n_pages") >= min_pages)

@@ -46,3 +46,12 @@ def test_templates_are_counted_per_host(spark):
         assert {r.page_id: (r.text, r.n_chars) for r in html_text.extract_pages(df).collect()} == got
     finally:
         html_text.BROADCAST_ROWS = few
+
+
+def test_recurring_paragraphs_of_articles_go_and_teasers_hide_no_text(spark):
+    notice = "<p>This story was sent to you by our readers' club.</p>"
+    rows = [(i, f"http://a.example/{i}", f"<article><h1>Story {i}</h1><p>Text of {i}.</p>{notice}</article>") for i in range(8)]
+    rows += [(20, "http://b.example/", "<body><p>The long main text of this page, in full.</p><article>Teaser</article></body>")]
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}\nText of {i}." for i in range(8))
+    assert got[20] == "The long main text of this page, in full.\nTeaser"
