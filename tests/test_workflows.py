@@ -1,9 +1,14 @@
 """Composed operators on small rows."""
 
+import os
+
+import pytest
 from codexflow.operators import workflows
+from codexflow.plans import catalog, corpus
 from codexflow.sources import bibtex
 from pyspark.sql import functions as F
 
+DATA = "/root/testdata/sf0.001"
 ENTRY = "citation_key string, entry_type string, title string, author string, year string, doi string"
 
 
@@ -35,3 +40,11 @@ def test_batches_and_snapshots(spark, tmp_path):
     assert got == [("one", "a", "seed"), ("one", "b", "expansion"), ("one", "n", "topic"), ("two", "a", "seed"), ("two", "n", "topic")]
     workflows.snapshot({"entries": e}, str(tmp_path / "s"))
     assert workflows.restore(spark, str(tmp_path / "s"), ["entries"])["entries"].count() == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_whole_tables_are_verified_and_searched(spark):
+    e = catalog.QUERIES["verification_bibtex"](spark, DATA)
+    assert e.select("query_id").distinct().count() == corpus.entries(spark, DATA).count()
+    gaps = catalog.QUERIES["support_gaps"](spark, DATA)
+    assert gaps.filter("claim_id % 1000 > 0").count() > 0
