@@ -24,8 +24,7 @@ Nulls and edges: null and empty texts, and texts without words, have an empty
 set, link with nothing and stay on their own. Rows with a null ``doc_id``
 belong to their class but name no component; a component of only such rows has
 a null ``component_id`` and ``kept`` false. Rows that share a ``doc_id`` each
-give a row by their own text. Texts that only such rows without an id have are
-not compared. An empty table gives no rows. Other columns are
+give a row by their own text. An empty table gives no rows. Other columns are
 not read. Equal sets are told by 64-bit hashes of the sorted set.
 """
 
@@ -46,6 +45,8 @@ HALF_KEYS, HALF_SIZE = 10, 2
 ROUNDS = 3
 #: Shingles in one block of the exact comparison: a few MB, whatever the lengths.
 BLOCK = 400_000
+#: Members of one leader that are compared in one go.
+MEMBERS = 256
 _TIGHT, _LOOSE = 50, 30
 
 _ROWS = 256
@@ -126,8 +127,9 @@ def buckets(described: DataFrame, m: int = HALF_KEYS) -> DataFrame:
 
 def packed_texts(documents: DataFrame, described: DataFrame, nodes: DataFrame) -> DataFrame:
     """The written table of one compressed text for each of ``nodes``: ``node``, ``n``, ``packed``."""
-    named = described.filter("doc_id is not null").join(nodes, "node", "left_semi")
-    one = named.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n")).select("node", "n", "one.*")
+    # The greatest struct has an id wherever one of the rows has one, so it is found by one row or few.
+    named = described.join(nodes, "node", "left_semi")
+    one = named.groupBy("node").agg(F.max(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n")).select("node", "n", "one.*")
 
     def work(batches):
         pack = zstandard.ZstdCompressor(level=3)
@@ -138,7 +140,7 @@ def packed_texts(documents: DataFrame, described: DataFrame, nodes: DataFrame) -
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["node", "n", "packed"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    found = docs.join(one, ["doc_id", "text_hash"]).select("node", "n", "text").mapInArrow(work, "node long, n long, packed binary")
+    found = docs.alias("d").join(one.alias("o"), F.expr("d.doc_id <=> o.doc_id and d.text_hash = o.text_hash")).select("node", "n", "text").mapInArrow(work, "node long, n long, packed binary")
     return common.write_table(found.dropDuplicates(["node"]), "texts", compression="none")
 
 
@@ -148,56 +150,80 @@ class _Sets:
     def __init__(self, words: int):
         self._words, self._unpack, self._kept = words, zstandard.ZstdDecompressor(), {}
 
+    def made(self, packed: bytes) -> np.ndarray:
+        return shingle_set(self._unpack.decompress(packed).decode("utf-8", "surrogatepass"), self._words)
+
     def of(self, node: int, packed: bytes) -> np.ndarray:
         found = self._kept.get(node)
         if found is None:
             if len(self._kept) >= 256:
                 self._kept.clear()
-            found = self._kept[node] = shingle_set(self._unpack.decompress(packed).decode("utf-8", "surrogatepass"), self._words)
+            found = self._kept[node] = self.made(packed)
         return found
 
 
 def compare_pairs(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The written ``(a, b)`` rows with ``shared`` and ``total``: sizes of intersection and union."""
+    """The written ``(a, b)`` rows with ``shared`` and ``total``: sizes of intersection and union.
+
+    Members ``b`` are dealt out in blocks of ``MEMBERS`` for each leader ``a``;
+    the leader's text goes to each block once, and is sorted before its members.
+    """
 
     def work(batches):
-        sets = _Sets(words)
+        sets, leader, x = _Sets(words), None, None
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 out = []
                 for r in whole.slice(at, _ROWS).to_pylist():
-                    x, y = sets.of(r["a"], r["pa"]), sets.of(r["b"], r["pb"])
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    out.append((r["a"], r["b"], shared, len(x) + len(y) - shared))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], ["a", "b", "shared", "total"])
-
-    left = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa"))
-    right = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb"))
+                    if r["a"] != leader:
+                        leader, x = r["a"], sets.made(r["packed"])
+                    if r["b"] is not None:
+                        y = sets.of(r["b"], r["packed"])
+                        shared = len(np.intersect1d(x, y, assume_unique=True))
+                        out.append((r["a"], r["b"], shared, len(x) + len(y) - shared))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], ["a", "b", "shared", "total"])
+
+    leaders = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    leaders = common.write_table(leaders.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na")), "a"), "leaders")
+    right = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), "packed")
     # Sizes bound the similarity: pairs whose sizes forbid the wider circle need no comparison.
-    size = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * _LOOSE)
-    both = pairs.join(left, "a").join(right, "b").filter(size).select("a", "pa", "b", "pb")
-    return common.write_table(both.mapInArrow(work, "a long, b long, shared long, total long"), "compared")
+    size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * _LOOSE
+    members = pairs.join(leaders, "a").join(right, "b").filter(size).select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), "b", "packed")
+    first = leaders.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    first = first.join(texts.select(F.col("node").alias("a"), "packed"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "packed")
+    rows = first.unionByName(members).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
+    return common.write_table(rows.select("a", "b", "packed").mapInArrow(work, "a long, b long, shared long, total long"), "compared")
 
 
-def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """The written ``(node, root)`` of all nodes in links: the least node reachable.
 
-    Each round gives every node the least root among its own and its
-    neighbours', then lets roots follow their own root, so rounds grow with the
-    logarithm of the longest path.
+    Each level hooks every node to its least neighbour, follows the hooks to
+    their ends by doubling, and keeps only the links between different ends.
+    At least half of the nodes go with each level, and the links with them.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = common.write_table(both, "links")
-    roots = common.write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")), "roots")
+    edges = common.write_table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    roots = None
     while True:
-        near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = roots.join(near, "node").select("node", F.least("root", "near").alias("next"), F.col("root").alias("old"))
-        jump = roots.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        after = lower.join(jump, "next", "left").select("node", F.least("next", "far").alias("root"), "old")
-        after = common.write_table(after, "roots")
-        changed = after.filter("root <> old").limit(1).count()
-        roots = after.select("node", "root")
-        if not changed:
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("next")), F.struct(F.col("b").alias("node"), F.col("a").alias("next"))))
+        hooks = common.write_table(edges.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.min("next").alias("next")), "hooks")
+        while True:
+            far = hooks.select(F.col("node").alias("next"), F.col("next").alias("far"))
+            jumped = common.write_table(hooks.join(far, "next").select("node", F.col("far").alias("next"), (F.col("far") != F.col("next")).alias("moved")), "hooks")
+            hooks = jumped.select("node", "next")
+            if not jumped.filter("moved").limit(1).count():
+                break
+        if roots is None:
+            roots = hooks.withColumnRenamed("next", "root")
+        else:
+            far = hooks.select(F.col("node").alias("root"), "next")
+            roots = common.write_table(roots.join(far, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        low = hooks.select(F.col("node").alias("a"), F.col("next").alias("ra"))
+        high = hooks.select(F.col("node").alias("b"), F.col("next").alias("rb"))
+        between = edges.join(low, "a").join(high, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        edges = common.write_table(between.distinct(), "links")
+        if not edges.limit(1).count():
             return roots
 
 
@@ -211,10 +237,12 @@ def _group_links(groups: DataFrame, roots: DataFrame, texts: DataFrame, words: i
     ``grp`` has its main component, that of its least node; members of others
     are the queries. A block holds about ``BLOCK`` shingles of members or queries.
     """
-    at = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "n"), "node")
+    # Each table is written, so that a hot group's rows are only added up, or split by the join's skew handling.
+    at = common.write_table(groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "n"), "node"), "members")
     sizes = at.groupBy("grp").agg(F.min_by("root", "node").alias("main"), F.sum("n").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    at = at.join(sizes.select("grp", "main", "held"), "grp").withColumn("query", F.col("root") != F.col("main"))
-    asking = at.filter("query").groupBy("grp").agg(F.sum("n").alias("asked"))
+    sizes = common.write_table(sizes.select("grp", "main", "held"), "sizes")
+    at = common.write_table(at.join(sizes, "grp").withColumn("query", F.col("root") != F.col("main")), "members")
+    asking = common.write_table(at.filter("query").groupBy("grp").agg(F.sum("n").alias("asked")), "asking")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     place = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
@@ -275,34 +303,47 @@ def near_links(documents: DataFrame, described: DataFrame, words: int, m: int =
 
 
 def dedup(documents: DataFrame, words: int, m: int = HALF_KEYS, t: int = HALF_SIZE) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``node``."""
+    """Per row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, and ``root`` and ``text_hash`` that tell components and texts."""
     described = describe(documents, words, m, t)
     roots = near_links(documents, described, words, m)
-    base = described.select("doc_id", "n_shingles", "node")
+    base = described.select("doc_id", "n_shingles", "node", "text_hash")
     # A class has one row here, however many copies it has.
     classes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = common.write_table(classes.join(ids, "root").select("node", "component_id"), "classes")
+    classes = common.write_table(classes.join(ids, "root").select("node", "root", "component_id"), "classes")
     out = base.join(classes, "node", "left")
     whole = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(False)).alias("kept"), "node")
+    return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(False)).alias("kept"), "root", "text_hash")
 
 
 def drop_near_copies(documents: DataFrame, words: int = 5) -> DataFrame:
-    """The documents with one of each group left, with all their columns.
+    """The documents with one row of each component left, with all their columns.
 
-    Of rows that share the kept ``doc_id`` one is left; rows without an id stay.
+    It is the row of the least id; of several with that id, one with the least
+    hash of its text; of equal rows, any one. Different texts of one id that
+    aren't linked are all left, as are rows without words.
     """
-    found = common.write_table(dedup(documents, words).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    kept = documents.join(found, "doc_id", "left_semi")
-    if found.filter("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(documents.filter("doc_id is null")).select(documents.columns)
+    found = common.write_table(dedup(documents, words), "components")
+    rows = found.filter("root is not null").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_hash", "rows")).alias("best")).select("best.*")
+    empty = found.filter("root is null").select("doc_id", "text_hash", F.lit(1).cast("long").alias("rows")).distinct()
+    kept = common.write_table(best.select("doc_id", "text_hash", "rows").unionByName(empty), "kept")
+    hash_of = F.xxhash64(common.text_or_empty())
+
+    def left(which: DataFrame) -> DataFrame:
+        which = which.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        return documents.join(which, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (hash_of == F.col("_hash")), "left_semi")
+
+    out = left(kept.filter("rows = 1"))
+    if kept.filter("rows > 1").limit(1).count():
+        again = left(kept.filter("rows > 1")).withColumn("_hash", hash_of).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+        out = out.unionByName(again)
+    return out
 
 
 def op2_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(common.read(spark, sf_dir, "documents"), words=4).drop("node")
+    return dedup(common.read(spark, sf_dir, "documents"), words=4).drop("root", "text_hash")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -94,3 +94,34 @@ def test_half_keys_agree_with_the_similarity():
     y = np.concatenate([x[:900], rng.integers(0, 2**63, 100, dtype=np.uint64)])
     same = (near_dedup.half_keys(x, 400, 2) == near_dedup.half_keys(y, 400, 2)).mean()
     assert abs(same - (900 / 1100) ** 2) < 0.06
+
+
+def test_one_row_of_each_component_is_left(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "p q r s t u"), (1, "other text of the same id"), (1, "p q r s t u"), (2, near), (2, near + " end"), (4, near), (5, None), (5, ""), (None, near), (None, "alone without an id"), (None, "Alone without an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "2 as rows", "3 as root")
+    got = near_dedup.drop_near_copies(df, 5)
+    left = sorted(((r.doc_id, (r.text or "").lower()) for r in got.collect()), key=str)
+    two = [x for x in left if x[0] == 2]
+    assert got.columns == df.columns and len(two) == 1 and two[0][1] in (near, near + " end")
+    assert [x for x in left if x[0] != 2] == sorted([(1, "p q r s t u"), (1, "other text of the same id"), (5, ""), (5, ""), (None, "alone without an id")], key=str)
+
+
+def test_components_of_long_paths_and_stars(spark):
+    rng = random.Random(3)
+    names = rng.sample(range(-(10**6), 10**6), 900)
+    links = [(names[i], names[i + 1]) for i in range(300)] + [(names[400], names[i]) for i in range(401, 800)] + [(names[700], names[850]), (names[850], names[850])]
+    root = {n: n for n in names}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.root for r in near_dedup.components(df).collect()}
+    assert got == {n: find(n) for n in {n for a, b in links if a != b for n in (a, b)}}
+    assert near_dedup.components(df.limit(0)).count() == 0
