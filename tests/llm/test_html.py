@@ -11,7 +11,7 @@ with <i>mark</i>up.</p><div class="cookie-notice">Cookies</div><form><p>mail</fo
 
 
 def text(source):
-    return "\n".join(b for b, _ in html_text.blocks(source))
+    return "\n".join(b for b, kind in html_text.blocks(source)[0] if kind != html_text.WEAK)
 
 
 def test_article_text():
@@ -55,3 +55,55 @@ def test_recurring_paragraphs_of_articles_go_and_teasers_hide_no_text(spark):
     got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Story {i}\nText of {i}." for i in range(8))
     assert got[20] == "The long main text of this page, in full.\nTeaser"
+
+
+def test_names_must_say_nothing_else_and_main_holds_its_article():
+    kept = "<section id='discussion'><p>a</p></section><div class='share-price'>b</div><div class='related-work'>c</div><fieldset>d</fieldset><label>e</label>"
+    assert text(f"<article><p>x</p>{kept}<div class='share-buttons'>no</div><div class='comments-area'>no</div></article>") == "x\na\nb\nc\nd\ne"
+    assert text("<main><h1>T</h1><p>one</p><article><p>two</p></article><p>three</p></main><p>out</p>") == "T\none\ntwo\nthree"
+    assert text("<div class='sidebar'><article><p>only one</p></article></div>") == "only one"
+
+
+def test_deep_broken_and_repetitive_markup():
+    for tag in ("div", "b", "span"):
+        assert text(f"<{tag}>" * 50_000 + "deep" + f"</{tag}>" * 50_000) == "deep"
+    found, spans = html_text.blocks("<div>x" * 20_000, "h")
+    assert len(found) == 20_000 and len(spans) == 20_000
+    assert text('one <a href="x>two three') == 'one <a href="x>two three'[:4].strip() + " two three"
+    assert text('<p title="a > b">c</p>') == "c" and text("<p title='it\"s > '>d") == "d"
+    for odd in ('<a "', "<a '", "<!", "</b>", '<a ">', "<", "<p><b>"):
+        text(odd * 50_000)
+
+
+def test_counts_agree_with_brute_force_and_mirrors_keep_their_text(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    hosts = {f"h{h}.example": (f"<div><ul><li>{prose(2)}<li>{prose(2)}</ul></div>", f"<p>{prose(6)}</p>") for h in range(3)}
+    rows, own = [], {}
+    for i in range(60):
+        host = f"h{i % 3}.example"
+        menu, tail = hosts[host]
+        own[i] = [prose(12) for _ in range(3)]
+        rows.append((i, f"http://{host}/{i}", f"<body>{menu}{''.join(f'<p>{t}</p>' for t in own[i])}{tail}</body>"))
+    same = [prose(15) for _ in range(20)]
+    for i in range(60, 80):
+        menu, tail = hosts["h0.example"]
+        own[i] = same[:-1] + [word()]
+        rows.append((i, f"http://h0.example/{i}", f"<body>{menu}{''.join(f'<p>{t}</p>' for t in own[i])}{tail}</body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    parsed = html_text.parse_pages(df)
+    pages, seen = {}, {}
+    for i, url, source in rows:
+        host = html_text.host_of(url)
+        pages[host] = pages.get(host, 0) + 1
+        for key in {s[0] for s in html_text.blocks(source, host)[1]}:
+            seen[host, key] = seen.get((host, key), 0) + 1
+    brute = {(h, k, n) for (h, k), n in seen.items() if n >= html_text.MIN_PAGES and n >= html_text.MIN_SHARE * pages[h]}
+    assert {tuple(r) for r in html_text.count_subtrees(parsed).collect()} == brute
+    got = {r.page_id: r.text for r in html_text.extract_pages(df).collect()}
+    assert got == {i: "\n".join(t) for i, t in own.items()}
+    counts = {(r.counted, r.weak): r.n_blocks for r in html_text.removal_counts(parsed, html_text.find_templates(parsed)).collect()}
+    assert counts[True, False] == 3 * 80
