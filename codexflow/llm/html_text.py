@@ -282,8 +282,8 @@ def blocks(source: str | None, host: str = "") -> tuple[list[tuple[str, int]], l
                 out.append((text, kind))
             some.clear()
 
-    def pending() -> bool:
-        return any(x and not x.isspace() for some in parts.values() for x in some)
+    def pending() -> int:
+        return sum(any(x and not x.isspace() for x in some) for some in parts.values())
 
     # Each open element: itself, what is left of it, its state, its first block, and main blocks before it.
     # The state: within a main part, not main text, within a heading, headings only.

@@ -9,8 +9,15 @@ to code points of the original text.
 
 Nulls and edges: a null text is the empty text. Rows that share a ``doc_id``
 give a row each; a null ``doc_id`` stays null. An empty table gives no rows.
-Other columns of the input are not read by ``scan_secrets``. Data that would
-unpack to more than ``MAX_UNPACKED`` bytes is left packed.
+Other columns of the input are not read by ``scan_secrets``.
+
+Bounds: data that would unpack to more than ``MAX_UNPACKED`` bytes makes no
+layer; it is unpacked as a stream and scanned chunk by chunk, each with its own
+worklist, and what is found there has the span of the whole encoded form. An
+escape that is itself escaped ``DEEP`` times or more (``%252525...41``) loses
+all of that in one step, since the layers between differ in nothing else; so
+texts of nested escapes don't need a layer for each. Layers give up their text
+once they are unwrapped.
 """
 
 from __future__ import annotations
@@ -42,8 +49,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
+#: Escapes of an escape's first character, from which on they are taken in one step.
+DEEP = 16
+_URL_ONE = re.compile(rf"%(?:25){{{DEEP},}}|%[0-9A-Fa-f]{{2}}")
+_URL = re.compile(rf"(?:{_URL_ONE.pattern})+")
+_DEEP_SLASH = rf"\\(?:u005[cC]|x5[cC]|U0000005[cC]|u\{{0*5[cC]\}}){{{DEEP},}}"
+_DEEP_AND = rf"&(?:#0*38;|#[xX]0*26;){{{DEEP},}}"
+_UNICODE = re.compile(
+    rf"(?:{_DEEP_SLASH}|{_DEEP_AND})|((?:(?!{_DEEP_SLASH}|{_DEEP_AND})"
+    + r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};))+)"
+)
 _UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 #: Two lines of base64 or more, of which only the last may be short.
@@ -75,16 +90,19 @@ class Layer:
     def __init__(self, text: str, parent: Layer | None = None, parts: list[tuple[int, int, int, bool]] | None = None):
         self.text, self.parent, self.parts = text, parent, parts or []
         self._starts = [p[0] for p in self.parts]
+        #: Spans found in data too large for a layer of its own.
+        self.streamed: list[tuple[str, int, int]] = []
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         """A span's place in the original text."""
-        if self.parent is None:
-            return start, end
-        a, first, _, decoded = self.parts[bisect_right(self._starts, start) - 1]
-        low = first if decoded else first + start - a
-        b, first, last, decoded = self.parts[bisect_right(self._starts, end - 1) - 1]
-        high = last if decoded else first + end - b
-        return self.parent.origin(low, high)
+        layer = self
+        while layer.parent is not None:
+            a, first, _, decoded = layer.parts[bisect_right(layer._starts, start) - 1]
+            low = first if decoded else first + start - a
+            b, first, last, decoded = layer.parts[bisect_right(layer._starts, end - 1) - 1]
+            start, end = low, last if decoded else first + end - b
+            layer = layer.parent
+        return start, end
 
 
 def _replaced(layer: Layer, changes: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Layer | None:
@@ -112,12 +130,13 @@ def _replaced(layer: Layer, changes: list[tuple[int, int, list[tuple[str, int, i
 def decode_url(layer: Layer) -> Layer | None:
     changes = []
     for m in _URL.finditer(layer.text) if "%" in layer.text else ():
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        pieces, at = [], m.start()
-        for c, size in _utf8(raw):
-            n = 3 * size
+        units = [u.span() for u in _URL_ONE.finditer(layer.text, *m.span())]
+        raw = bytes(0x25 if b - a > 3 else int(layer.text[a + 1 : b], 16) for a, b in units)
+        pieces, at = [], 0
+        for c, n in _utf8(raw):
+            a, b = units[at][0], units[at + n - 1][1]
             # Bytes that are no character stay as they were.
-            pieces.append((layer.text[at : at + n] if c is None else c, at, at + n))
+            pieces.append((layer.text[a:b] if c is None else c, a, b))
             at += n
         if any(layer.text[a:b] != said for said, a, b in pieces):
             changes.append((*m.span(), pieces))
@@ -128,6 +147,9 @@ def decode_unicode(layer: Layer) -> Layer | None:
     changes = []
     for m in _UNICODE.finditer(layer.text) if "\\" in layer.text or "&#" in layer.text else ():
         pieces, high = [], None
+        if m[1] is None:
+            changes.append((*m.span(), [(m[0][0], *m.span())]))
+            continue
         for one in _UNICODE_ONE.finditer(layer.text, *m.span()):
             code = int(one[5]) if one[5] else int(next(g for g in one.groups() if g), 16)
             if high is not None and 0xDC00 <= code < 0xE000:
@@ -176,8 +198,12 @@ def _unpacker(raw: bytes):
     return lzma.LZMADecompressor() if raw[:6] == b"\xfd7zXZ\0" else None
 
 
+class _TooLarge(Exception):
+    pass
+
+
 def _unpack(raw: bytes) -> bytes | None:
-    """Decompress all members of data of a known format; None if it is none or too large.
+    """Decompress all members of data of a known format; None if it is none.
 
     What follows the last whole member is left out.
     """
@@ -190,7 +216,7 @@ def _unpack(raw: bytes) -> bytes | None:
             break
         size += len(some)
         if size > MAX_UNPACKED:
-            return None
+            raise _TooLarge
         if not made.eof:
             break
         out.append(some)
@@ -198,6 +224,43 @@ def _unpack(raw: bytes) -> bytes | None:
     return b"".join(out) if out else None
 
 
+#: Bytes of unpacked data scanned at once, and how many of them again with the next ones.
+_CHUNK, _AGAIN = 1 << 20, 1 << 16
+
+
+def _stream(raw: bytes):
+    """Chunks of the unpacked data of all members, overlapping."""
+    held = b""
+    while (made := _unpacker(raw)) is not None:
+        zlib_like = hasattr(made, "unconsumed_tail")
+        given = raw
+        while not made.eof:
+            try:
+                some = made.decompress(given, _CHUNK)
+            except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
+                some = b""
+            given = made.unconsumed_tail if zlib_like else b""
+            if not some and not given and not made.eof:
+                yield held
+                return
+            held += some
+            if len(held) >= _CHUNK:
+                yield held
+                held = held[-_AGAIN:]
+        raw = made.unused_data.lstrip(b"\0")
+    yield held
+
+
+def _streamed_kinds(raw: bytes) -> set[str]:
+    """The kinds of secrets in data too large for a layer."""
+    kinds: set[str] = set()
+    for chunk in _stream(raw):
+        kinds.update(kind for kind, _, _ in scan(chunk.decode(_encoding(chunk), "replace"))[1])
+        if len(kinds) == len(KINDS):
+            break
+    return kinds
+
+
 def _as_text(raw: bytes) -> list[tuple[str, int]] | None:
     """Bytes as characters with the bytes of each, or None if they are no text.
 
@@ -230,9 +293,13 @@ def _decode_base64(layer: Layer, pattern: re.Pattern) -> Layer | None:
         except binascii.Error:
             continue
         seen, packed = set(), False
-        while (inner := _unpack(raw)) is not None and (key := hashlib.sha256(inner).digest()) not in seen:
-            seen.add(key)
-            raw, packed = inner, True
+        try:
+            while (inner := _unpack(raw)) is not None and (key := hashlib.sha256(inner).digest()) not in seen:
+                seen.add(key)
+                raw, packed = inner, True
+        except _TooLarge:
+            layer.streamed += [(kind, *m.span()) for kind in _streamed_kinds(raw)]
+            continue
         if packed:
             # What was compressed is data in any case, and is taken whatever it holds.
             pieces = [(raw.decode(_encoding(raw), "replace"), *m.span())]
@@ -267,11 +334,14 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         layer = work.popleft()
         for decode in (decode_url, decode_unicode, decode_base64, decode_wrapped):
             inner = decode(layer)
+            spans.update((kind, *layer.origin(a, b)) for kind, a, b in layer.streamed)
+            layer.streamed.clear()
             if inner is None or (key := hashlib.sha256(inner.text.encode("utf-8", "surrogatepass")).digest()) in seen:
                 continue
             seen.add(key)
             spans.update((kind, *inner.origin(a, b)) for kind, a, b in find_spans(inner.text))
             work.append(inner)
+        layer.text = ""
     return ordered(base), ordered(spans), len(seen)
 
 

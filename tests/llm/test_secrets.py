@@ -99,3 +99,53 @@ def test_table(spark):
     q = {r.doc_id: r for r in secrets.op7_secret_worklist(spark, path.rpartition("/")[0]).collect()}
     assert (q[1].n_assign, q[1].spans, q[6].n_assign) == (1, f"assign:0:{len(SECRET)}", 0)
     assert q[1].base_sha256 == hashlib.sha256(q[1].spans.encode()).hexdigest() and q[4].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_deep_nesting_takes_few_layers_and_no_recursion():
+    for text in (
+        "%" + "25" * 1100 + "41 password=hunter2secret",
+        "%" + "25" * 300_000 + "41 " + urllib.parse.quote(SECRET, safe=""),
+        "\\" + "u005c" * 50_000 + "u0041 " + "".join(f"\\u{ord(c):04x}" for c in SECRET),
+        "&" + "#38;" * 50_000 + "#65; " + "".join(f"&#{ord(c)};" for c in SECRET),
+    ):
+        base, spans, layers = secrets.scan(text)
+        assert any(k == "assign" for k, _, _ in spans) and layers < 25
+    mixed = SECRET
+    for _ in range(60):
+        mixed = urllib.parse.quote(mixed, safe="").replace("%", "\\u0025")
+    assert any(k == "assign" for k, _, _ in secrets.scan(mixed)[1])
+
+
+def test_data_too_large_for_a_layer_is_scanned_as_a_stream():
+    most, secrets.MAX_UNPACKED = secrets.MAX_UNPACKED, 1 << 20
+    try:
+        for place in (0, 1_048_570, 2_500_000, 3_999_900):
+            raw = bytearray(b"lorem ipsum " * 340_000)
+            raw[place : place + len(SECRET)] = SECRET.encode()
+            for pack in (gzip.compress, zlib.compress, bz2.compress):
+                wrapped = base64.b64encode(pack(bytes(raw))).decode()
+                text = "before " + wrapped + " after"
+                # The encoded form of such data may itself look like hex.
+                assert [s for s in secrets.scan(text)[1] if s[0] != "hex"] == [("assign", 7, 7 + len(wrapped))], place
+        assert secrets.scan(base64.b64encode(gzip.compress(b"lorem ipsum " * 340_000)).decode())[0] == secrets.scan(base64.b64encode(gzip.compress(b"lorem ipsum " * 340_000)).decode())[1]
+    finally:
+        secrets.MAX_UNPACKED = most
+
+
+def test_random_nests_against_a_plain_fixpoint():
+    rng = random.Random(8)
+    b64 = lambda s: base64.b64encode(s.encode()).decode()
+    ways = [
+        lambda s: "".join(f"%{b:02x}" for b in s.encode()), lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+        lambda s: "".join(f"&#{ord(c)};" for c in s), b64, lambda s: base64.b64encode(gzip.compress(s.encode())).decode(), lambda s: base64.b64encode(bz2.compress(s.encode())).decode(),
+    ]
+    for _ in range(200):
+        hidden, depth = SECRET, rng.randint(1, 4)
+        for _ in range(depth):
+            hidden = rng.choice(ways)(hidden)
+            if len(hidden) > 4000:
+                break
+        text = "start " + hidden + " end"
+        spans = [s for s in secrets.scan(text)[1] if s[0] == "assign"]
+        assert spans and all(6 <= a < b <= 6 + len(hidden) for _, a, b in spans), text[:200]
+        assert "hunter2" not in "".join(secrets.redact(text, spans))
