@@ -7,14 +7,15 @@ the payload's sizes and a Xing table the frame count, size and seek points.
 
 ``parse_audio`` reads any MPEG-1/2/2.5 stream of layers I to III: it skips
 ID3v2 and ID3v1 tags, finds frame headers again after foreign bytes, reads
-Xing, Info and VBRI tables, verifies the checksums of layer III (and layer I)
+Xing, Info and VBRI tables, verifies the checksums of all three layers
 and gives the exact duration (samples over rate) and each frame's offset.
 
 Nulls and edges of the query: a null text is the empty text, whose payload is
 64 zero bytes. Rows that share a ``doc_id`` give a row each; a null ``doc_id``
 stays null. Equal texts give equal values. An empty table gives no rows. Other
 columns of the input are not read. Media bytes that hold no frame parse to no
-frames; null media to null.
+frames; null media has nulls in all columns but its id. A stream that
+``write_audio`` didn't make has its facts, and nulls in the payload's columns.
 """
 
 from __future__ import annotations
@@ -58,6 +59,8 @@ class Header:
     size: int
     samples: int
     side: int
+    #: Subbands below it have an allocation for each channel, those from it on one for both.
+    bound: int
 
 
 @lru_cache(maxsize=4096)
@@ -75,7 +78,8 @@ def parse_header(word: bytes) -> Header | None:
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1 else 576
     size = (12000 * kbits // hz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hz + padding
     side = 0 if layer != 3 else (17 if channels == 1 else 32) if version == 1 else 9 if channels == 1 else 17
-    return Header(version, layer, not word[1] & 1, kbits, hz, channels, size, samples, side)
+    bound = 4 * ((word[3] >> 4 & 3) + 1) if word[3] >> 6 == 1 else 32
+    return Header(version, layer, not word[1] & 1, kbits, hz, channels, size, samples, side, bound)
 
 
 @lru_cache(maxsize=4096)
@@ -89,6 +93,57 @@ def checksum(data: bytes) -> int:
     return crc
 
 
+#: Layer II: subbands by the bits of their allocation (fixed values), as (subbands, bits) in order.
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation(h: Header) -> tuple[tuple[int, int], ...]:
+    """The table that a layer II frame's rate and bitrate choose."""
+    if h.version != 1:
+        return ALLOCATIONS["low"]
+    each = h.kbits // h.channels
+    if each <= 48:
+        return ALLOCATIONS["d" if h.rate == 32000 else "c"]
+    return ALLOCATIONS["a" if each <= 80 or h.rate == 48000 else "b"]
+
+
+def covered_bits(body: bytes, h: Header) -> int | None:
+    """How many bits behind the checksum it covers, besides the header's last 16; None if they are cut off."""
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (min(h.bound, 32) * h.channels + (32 - h.bound if h.bound < 32 else 0))
+    bits, at, used = int.from_bytes(body, "big"), 8 * len(body), 0
+    band = 0
+    for subbands, wide in _allocation(h):
+        for _ in range(subbands):
+            shared = h.channels == 2 and band >= h.bound
+            for _ in range(1 if shared else h.channels):
+                at -= wide
+                if at < 0:
+                    return None
+                # What both channels share is selected for each.
+                used += (bits >> at & (1 << wide) - 1 != 0) * (2 if shared else 1)
+            band += 1
+    return 8 * len(body) - at + 2 * used
+
+
+def _bit_checksum(head: bytes, body: bytes, n_bits: int) -> int:
+    """The checksum of two bytes and the first bits of a body."""
+    crc, whole = 0xFFFF, n_bits // 8
+    crc = checksum(head + body[:whole])
+    for i in range(n_bits % 8):
+        bit = (body[whole] >> 7 - i & 1) ^ (crc >> 15)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if bit else 0)
+    return crc
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
@@ -191,12 +246,16 @@ def _find(data: bytes, at: int, end: int, like: Header | None) -> int:
 
 
 def _sound(data: bytes, at: int, h: Header) -> bool | None:
-    """Whether a frame's checksum holds; None if it has none that is read here."""
-    if not h.protected or h.layer == 2:
+    """Whether a frame's checksum holds; None if it has none."""
+    if not h.protected:
         return None
-    covered = h.side if h.layer == 3 else 16 * h.channels
     start = at + 6
-    return checksum(data[at + 2 : at + 4] + data[start : start + covered]) == int.from_bytes(data[at + 4 : start], "big")
+    # The longest cover is layer II's: 30 subbands of two channels.
+    body = data[start : min(at + h.size, start + 64)]
+    n_bits = covered_bits(body, h)
+    if n_bits is None or n_bits > 8 * len(body):
+        return False
+    return _bit_checksum(data[at + 2 : at + 4], body, n_bits) == int.from_bytes(data[at + 4 : start], "big")
 
 
 def parse_audio(data: bytes | None) -> Audio | None:
@@ -260,16 +319,20 @@ def _table(data: bytes, at: int, body: int, h: Header, found: Audio, start: int)
     return True
 
 
-def read_payload(data: bytes, audio: Audio) -> bytes:
-    """The payload that ``write_audio`` stored."""
-    return b"".join(data[a:b] for a, b in audio.bodies)[: int(audio.tags["payload_bytes"])]
+def read_payload(data: bytes, audio: Audio) -> bytes | None:
+    """The payload that ``write_audio`` stored; None if the stream isn't one of its own."""
+    sizes = [audio.tags.get(name, "") for name in ("payload_bytes", "text_bytes")]
+    if not all(x.isascii() and x.isdecimal() for x in sizes):
+        return None
+    payload = b"".join(data[a:b] for a, b in audio.bodies)[: int(sizes[0])]
+    return payload if len(payload) == int(sizes[0]) >= int(sizes[1]) else None
 
 
 def feature(audio: Audio) -> str:
     """A stream's facts in one line; the seek offsets by their crc32."""
     seek = zlib.crc32(b"".join(o.to_bytes(8, "little") for o in audio.offsets))
     return (
-        f"mpeg{audio.version:g} layer{audio.layer} {audio.rate}Hz ch{audio.channels} frames={len(audio.offsets)} samples={audio.samples} "
+        f"mpeg{audio.version or 0:g} layer{audio.layer} {audio.rate}Hz ch{audio.channels} frames={len(audio.offsets)} samples={audio.samples} "
         f"kbits={min(audio.bits, default=0)}-{max(audio.bits, default=0)} table={audio.table}:{audio.table_fits} "
         f"crc={audio.checked - audio.bad_checksums}/{audio.checked} resyncs={audio.resyncs} seek={seek:08x}"
     )
@@ -306,19 +369,20 @@ _PARSED = (
 
 
 def parse_media(media: DataFrame) -> DataFrame:
-    """Facts, digests, exact duration and seek offsets of streams with a payload."""
+    """Facts, digests, exact duration and seek offsets of any streams; see the module's text for foreign ones."""
 
     def parse(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 out = []
                 for d, data in zip(*(column(whole.slice(at, _ROWS), c) for c in ("doc_id", "media"))):
+                    if data is None:
+                        out.append((d, *[None] * (len(_PARSED_NAMES) - 1)))
+                        continue
                     audio = parse_audio(data)
                     payload = read_payload(data, audio)
-                    out.append(
-                        (d, int(audio.tags["text_bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAYLOAD_UNIT:]),
-                         len(data), hashlib.sha256(data).hexdigest(), feature(audio), len(audio.offsets), audio.samples, audio.rate, audio.offsets)
-                    )
+                    own = (None,) * 4 if payload is None else (int(audio.tags["text_bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAYLOAD_UNIT:]))
+                    out.append((d, *own, len(data), hashlib.sha256(data).hexdigest(), feature(audio), len(audio.offsets), audio.samples, audio.rate, audio.offsets))
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _PARSED_TYPES)], _PARSED_NAMES)
 
