@@ -13,8 +13,11 @@ apart) may have half that share, so every stretch of 64 characters of an item
 holds one in full: a verbatim quote that long is found wherever it begins. The
 q-grams are kept once for each item, not for each window.
 
-The benchmark is taken in blocks of at most ``BLOCK_ITEMS`` items, each block
-against all documents in one pass, so what an executor holds is bounded.
+The benchmark is taken in blocks of about ``BLOCK_ITEMS`` items and
+``BLOCK_CHARS`` characters at most, one after the other: a block is gathered,
+sent out, held against all documents in one pass that writes what it finds, and
+given up. Texts with very many hits are searched in overlapping stretches. So
+what the driver and an executor hold is bounded.
 
 Characters are compared in lower case with each white-space character as a
 blank; positions are code points of the original text.
@@ -47,8 +50,12 @@ Q, EDITS = 8, 0.1
 WINDOW, STEP = 120, 60
 #: Short windows of items longer than one, how far apart they start, and their part of the share of edits.
 SHORT, SHORT_STEP, SHORT_PART = 60, 4, 0.5
+#: More than any place of a window in a text is long.
+REACH = 2 * WINDOW
 MIN_CHARS = 30
-BLOCK_ITEMS = 10_000
+BLOCK_ITEMS, BLOCK_CHARS = 10_000, 20_000_000
+#: Shared q-grams that are looked at together.
+HITS = 500_000
 
 _ROWS = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -84,27 +91,40 @@ def edit_budget(m: int, edits: float = EDITS, q: int = Q) -> int:
 def align(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
     """Least edits of the pattern within the text, and where, if at most k.
 
-    Columns of the table run over the text, rows over the pattern; the pattern
-    may start and end anywhere in the text, which is one band.
+    Rows of the table run over the pattern, columns over diagonals: those on
+    which the pattern fits into the text, and k more on either side. The pattern
+    may start and end on any.
     """
-    n = len(text)
-    cost, start = np.zeros(n + 1, np.int32), np.arange(n + 1)
-    steps = np.arange(n + 1)
-    for i, c in enumerate(pattern):
-        up, diagonal = cost + 1, cost[:-1] + (text != c)
-        best, origin = up.copy(), start.copy()
-        better = diagonal <= best[1:]
-        best[1:][better] = diagonal[better]
-        origin[1:][better] = start[:-1][better]
-        # Text characters between: the least of best[j] - j to the left, plus j.
+    m, n = len(pattern), len(text)
+    wide = n - m + 2 * k + 1
+    if wide <= 0:
+        return None
+    steps = np.arange(wide)
+    # The text's place of a diagonal in row 0; places outside the text can't be reached.
+    place = steps - k
+    far = np.int64(m + n)
+    cost = np.where((place >= 0) & (place <= n), 0, far)
+    start = place.copy()
+    padded = np.full(m + wide + k, -1, np.int64)
+    padded[k : k + n] = text[: len(padded) - k]
+    for i, c in enumerate(pattern.astype(np.int64)):
+        best, origin = cost + (padded[i : i + wide] != c), start
+        # A character of the pattern left out: from the next diagonal.
+        up = np.append(cost[1:] + 1, far)
+        worse = up < best
+        best, origin = np.where(worse, up, best), np.where(worse, np.append(start[1:], 0), origin)
+        at = place + i + 1
+        best[(at < 0) | (at > n)] = far
+        # Characters of the text between: the least of best[d] - d to the left, plus d.
         low = best - steps
         least = np.minimum.accumulate(low)
-        at = np.maximum.accumulate(np.where(low == least, steps, 0))
-        cost, start = least + steps, origin[at]
+        from_ = np.maximum.accumulate(np.where(low == least, steps, 0))
+        cost, start = least + steps, origin[from_]
+        cost[(at < 0) | (at > n)] = far
         if cost.min() > k:
             return None
     end = int(cost.argmin())
-    return (int(cost[end]), int(start[end]), end) if cost[end] <= k else None
+    return (int(cost[end]), int(start[end]), end - k + m) if cost[end] <= k else None
 
 
 def _equal(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int] | None:
@@ -189,6 +209,24 @@ class Index:
         i[i == len(self.grams)] = 0
         hit = self.grams[i] == g[at]
         at, i = at[hit], i[hit]
+        total = np.cumsum(self.count[i])
+        found: dict[tuple[int | None, int, int], tuple[Window, int, int, int]] = {}
+        low = 0
+        while low < len(at):
+            # A stretch of the text with so many hits, but two windows long at least.
+            held = int(total[low - 1]) if low else 0
+            high = max(int(np.searchsorted(total, held + HITS, "right")), int(np.searchsorted(at, at[low] + 2 * REACH)), low + 1)
+            for f in self._in_stretch(x, at[low:high], i[low:high]):
+                key = (id(f[0].codes.base), f[0].at, len(f[0].codes))
+                if key not in found or f[1] < found[key][1]:
+                    found[key] = f
+            if high >= len(at):
+                break
+            # The next one begins a window's reach before, so every place of a window is whole in one of them.
+            low = max(low + 1, int(np.searchsorted(at, at[high] - REACH)))
+        return list(found.values())
+
+    def _in_stretch(self, x, at, i) -> list[tuple[Window, int, int, int]]:
         n = self.count[i]
         entry = np.repeat(self.first[i] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         item, place = self.owner[entry], self.place[entry]
@@ -237,27 +275,33 @@ class Index:
         return [(self._window(kind, w), *f) for w, f in found.items()]
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int | None, str | None]]]:
-    """The items in blocks of bounded size: one query set after the other."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    n = items.count()
-    if not n:
-        return []
-    parts = -(-2 * n // BLOCK_ITEMS) if n > BLOCK_ITEMS else 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [sorted(((r[0], r[1]) for r in items.filter(part == p).collect()), key=str) for p in range(parts)]
+class _Blocks:
+    """The items in blocks of bounded size, gathered one by one."""
+
+    def __init__(self, benchmark: DataFrame):
+        self._items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+        n, chars = self._items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        # Parts by hash are uneven, so they are planned at half of the bound.
+        self.parts = max(1, -(-2 * n // BLOCK_ITEMS), -(-2 * chars // BLOCK_CHARS)) if n > BLOCK_ITEMS or chars > BLOCK_CHARS else min(n, 1)
+
+    def get(self, p: int) -> list[tuple[int | None, str | None]]:
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.parts))
+        return sorted(((r[0], r[1]) for r in self._items.filter(part == p).collect()), key=str)
 
 
 _FOUND = "doc_id long, item_id long, item_at long, edits long, start long, end long"
 
 
 def find_passages(documents: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
-    """Each window of an item found in a document: where in both, and with how many edits."""
+    """Each window of an item found in a document: where in both, and with how many edits.
+
+    With several blocks, what each finds is written before the next is gathered.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     spark = documents.sparkSession
 
     def search(items):
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
+        shared = _send(spark, items)
 
         def work(batches):
             index = _index(shared, edits)
@@ -272,12 +316,22 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, edits: float = EDI
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], [x.split()[0] for x in _FOUND.split(", ")])
 
-        return docs.mapInArrow(work, _FOUND)
+        return shared, docs.mapInArrow(work, _FOUND)
 
-    found = [search(items) for items in _blocks(benchmark)]
+    blocks, found = _Blocks(benchmark), []
+    if blocks.parts == 1:
+        return search(blocks.get(0))[1]
+    for p in range(blocks.parts):
+        shared, some = search(blocks.get(p))
+        found.append(common.write_table(some, "passages"))
+        shared.destroy()
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _FOUND)
 
 
+def _send(spark: SparkSession, items):
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, items))
+
+
 _indexes: dict[tuple[str, float], Index] = {}
 
 
@@ -301,11 +355,15 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, edits: float =
     """The documents without any benchmark passage, with all their columns.
 
     The decision is made where the row lies: no join, and rows without an id are judged too.
+    With several blocks, what each but the last leaves is written.
     """
-    spark, out = documents.sparkSession, documents
-    for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
+    spark, out, blocks = documents.sparkSession, documents, _Blocks(benchmark)
+    for p in range(blocks.parts):
+        shared = _send(spark, blocks.get(p))
         out = out.filter(~_has_passage(shared, edits)(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        if p + 1 < blocks.parts:
+            out = common.write_table(out, "left")
+            shared.destroy()
     return out
 
 

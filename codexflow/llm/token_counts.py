@@ -85,13 +85,22 @@ def answer_limits(sums: DataFrame, limits: DataFrame) -> DataFrame:
     marked = sums.select("context_limit", "docs_over", "tokens_over", F.lit(False).alias("asked")).unionByName(
         limits.select("context_limit").distinct().withColumns({"docs_over": F.lit(None).cast("long"), "tokens_over": F.lit(None).cast("long"), "asked": F.lit(True)})
     )
-    # The histogram's rows are distinct lengths, not documents.
-    up = Window.orderBy("context_limit", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    # Within blocks of lengths, then from the block before: no task takes the whole histogram.
+    marked = marked.withColumn("block", F.expr(f"context_limit div {BLOCK}"))
+    over = ("docs_over", "tokens_over")
+    up = Window.partitionBy("block").orderBy("context_limit", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # The least of what is over a limit is that over the block's greatest length.
+    blocks = marked.groupBy("block").agg(*(F.min(c).alias(c) for c in over))
+    blocks = blocks.select("block", *(F.last(c, ignorenulls=True).over(earlier).alias(f"{c}_before") for c in over))
     first = sums.agg(F.max(F.col("docs_over") + F.col("docs_at_most")).alias("docs"), F.max(F.col("truncated_total") + F.col("lost")).alias("total"))
-    found = marked.withColumns({c: F.last(c, ignorenulls=True).over(up) for c in ("docs_over", "tokens_over")}).filter("asked")
+    found = marked.withColumns({c: F.last(c, ignorenulls=True).over(up) for c in over}).filter("asked").join(blocks, "block", "left")
+    found = found.withColumns({c: F.coalesce(c, f"{c}_before") for c in over})
     found = found.crossJoin(F.broadcast(first)).withColumns({"docs_over": F.coalesce("docs_over", "docs"), "tokens_over": F.coalesce("tokens_over", "total")})
     return found.select("context_limit", "docs_over", (F.col("total") - F.col("tokens_over") + F.col("context_limit") * F.col("docs_over")).alias("truncated_total"))
 
 
 def op8_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(encoded_lengths(common.read(spark, sf_dir, "documents"))))
+    # Written, as the sums read the histogram twice and the texts are to be encoded once.
+    histogram = common.write_table(length_histogram(encoded_lengths(common.read(spark, sf_dir, "documents"))), "histogram")
+    return suffix_sums(histogram)

@@ -60,14 +60,17 @@ def train_dictionary(documents: DataFrame, path: str, name: str, sample_docs: in
     """A zstandard dictionary from the id arrays of about ``sample_docs`` documents.
 
     The sample is bounded: documents by a hash of their id, at most twice
-    ``sample_docs`` of them and 4096 characters of each. It only shapes the
+    ``sample_docs`` of them and 4096 characters of each, from a place in the
+    text that a hash of it tells. It only shapes the
     compression; every document is stored whole. With too few documents to
     train on, the dictionary is the plain concatenation of the sample.
     """
     every = max(1, documents.count() // sample_docs)
+    text = common.text_or_empty()
+    place = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - 4095, F.lit(1))).cast("int") + 1
     some = (
         documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-        .select(F.substring(common.text_or_empty(), 1, 4096).alias("text"))
+        .select(F.substring(text, place, F.lit(4096)).alias("text"))
         .limit(2 * sample_docs)
     )
 
@@ -91,7 +94,9 @@ def write_token_files(documents: DataFrame, path: str | None = None, tokenizer:
     """Encode every whole text, end it with id 2 and write the format above.
 
     One shuffle: compressed frames go to shards by ``doc_id``, whose bounds
-    come from approximate quantiles of that column alone.
+    come from approximate quantiles of that column alone. Null ids, and an id
+    that fills several quantiles, have as many shards, told by the crc32 that
+    orders the rows of an id.
     """
     spark = documents.sparkSession
     files = TokenFiles(path or common.scratch_path(spark, "tokens"))
@@ -102,7 +107,16 @@ def write_token_files(documents: DataFrame, path: str | None = None, tokenizer:
     id_bytes = encoder(tokens, tokenizer).dtype.itemsize
     shards = common.partitions(spark)
     cuts = [i / shards for i in range(1, shards)] or [0.5]
-    bounds = np.unique(documents.agg(F.percentile_approx("doc_id", cuts)).first()[0] or [0])
+    found = documents.agg(F.percentile_approx("doc_id", cuts).alias("at"), F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+    bounds = np.array(found["at"] or [0], np.int64)
+    nulls = -(-shards * (found["n"] - found["named"]) // max(1, found["n"]))
+
+    def shard_of(doc_id: int | None, crc: int) -> int:
+        if doc_id is None:
+            return crc * nulls >> 32
+        low, high = np.searchsorted(bounds, doc_id, "left"), np.searchsorted(bounds, doc_id, "right")
+        # Of an id that is a bound itself, all but the last of its shards hold nothing else above it.
+        return nulls + int(low) + (crc * int(max(1, high - low)) >> 32)
 
     def to_frames(batches):
         e = encoder(tokens, tokenizer)
@@ -110,14 +124,15 @@ def write_token_files(documents: DataFrame, path: str | None = None, tokenizer:
         pack = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(trained), write_content_size=True)
         for batch in batches:
             ids = column(batch, "doc_id")
-            shard = [0 if d is None else int(np.searchsorted(bounds, d, side="left")) for d in ids]
             raw = [e.encode(t) + end for t in column(batch, "text")]
+            crcs = [zlib.crc32(r) for r in raw]
+            shard = [shard_of(d, c) for d, c in zip(ids, crcs)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(shard, pa.int32()),
                     pa.array(ids, pa.int64()),
                     pa.array([len(r) // id_bytes for r in raw], pa.int64()),
-                    pa.array([zlib.crc32(r) for r in raw], pa.int64()),
+                    pa.array(crcs, pa.int64()),
                     pa.array([pack.compress(r) for r in raw], pa.binary()),
                 ],
                 ["shard", "doc_id", "n_tokens", "order_key", "frame"],
@@ -153,7 +168,7 @@ def write_token_files(documents: DataFrame, path: str | None = None, tokenizer:
 
     (
         documents.mapInArrow(to_frames, _FRAMES)
-        .repartitionById(shards, F.col("shard"))
+        .repartitionById(shards + nulls, F.col("shard"))
         .sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "order_key", "n_tokens", "frame")
         .mapInArrow(to_blocks, _BLOCKS)
         .write.option("compression", "none")

@@ -84,3 +84,46 @@ def test_blocks_of_items(spark):
         assert {(r.doc_id, r.item_id) for r in dc.contaminated(spark.createDataFrame(items, "doc_id long, text string"), bench).collect()} == {(i, i) for i in range(9)}
     finally:
         dc.BLOCK_ITEMS = size
+
+
+def test_repetitive_texts_are_searched_in_stretches():
+    rng = random.Random(3)
+    items = [(1, "a" * 119), (2, made(rng, 30)), (3, "ab " * 60)]
+    index = dc.Index(items)
+    hits, dc.HITS = dc.HITS, 20_000
+    try:
+        found = index.find("x y " + "a" * 30_000 + " " + items[1][1] + " " + "ab " * 5_000)
+        assert {f[0].item_id for f in found} == {1, 2, 3} and all(f[1] == 0 for f in found)
+        doc = made(rng, 400) + edited(rng, items[1][1][:120], 6) + made(rng, 400)
+        few = {(f[0].item_id, f[0].at, len(f[0].codes)): f[1:] for f in index.find(doc)}
+        dc.HITS = 10
+        assert {(f[0].item_id, f[0].at, len(f[0].codes)): f[1:] for f in index.find(doc)} == few
+    finally:
+        dc.HITS = hits
+
+
+def test_banded_alignment_is_that_of_the_full_table():
+    rng = random.Random(12)
+    for _ in range(400):
+        pattern = "".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 24)))
+        k = rng.randint(0, 4)
+        least, got = least_edits(pattern, text), dc.align(dc.codes(pattern), dc.codes(text), k)
+        assert (got is not None) == (least <= k), (pattern, text, k, least, got)
+        if got:
+            assert got[0] == least and least_edits(pattern, text[got[1] : got[2]]) == least
+
+
+def test_several_blocks_give_what_one_gives(spark):
+    rng = random.Random(7)
+    items = [(i, made(rng, 20)) for i in range(12)] + [(None, made(rng, 20))]
+    docs = [(i, made(rng, 30) + (" " + items[i][1] if i < 13 else "") + " end") for i in range(20)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, dc.contaminated(d, b).collect()), key=str)
+    many, dc.BLOCK_ITEMS = dc.BLOCK_ITEMS, 4
+    try:
+        assert sorted(map(tuple, dc.contaminated(d, b).collect()), key=str) == whole
+        assert {r.doc_id for r in dc.drop_contaminated(d, b).collect()} == set(range(13, 20))
+        assert dc.contaminated(d, b.limit(0)).count() == 0 and dc.drop_contaminated(d, b.limit(0)).count() == 20
+    finally:
+        dc.BLOCK_ITEMS = many
