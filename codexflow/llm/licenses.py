@@ -1,15 +1,19 @@
 """License scans: TF-IDF cosine to templates, then inheritance by directory.
 
-Units of a file are each of its lines, its head (the first lines together) and
-its whole text. A unit's vector has a weight for each term (its number times
-its inverse document frequency among the templates); the cosine to each
-template's sparse vector decides. A file whose whole text is a licence speaks
-for its directory; a file without a notice of its own takes the licence of its
-nearest ancestor directory that has one.
+Units of a file are each of its lines, overlapping groups of lines, of which the
+first is its head, and its whole text. A unit's vector has a weight for each
+term (its number times its inverse document frequency among the templates); the
+cosine to each template's sparse vector decides. A file whose whole text is like
+a template, or whose head is like a licence's text, speaks for its directory; a
+file without a notice of its own takes the licence of its nearest ancestor
+directory that has one.
 
-Only DataFrame functions are used. Units without any template term have cosine
-0 with all of them, so they are left out by one regular expression before
-anything is split into terms.
+Only DataFrame functions are used. Of each template, the heaviest terms are its
+anchors, so many that the others alone can't reach the bound: units without any
+anchor are left out before anything is counted, and nothing else is.
+
+Of a file's findings the one that makes it a licence file counts most, then the
+highest cosine.
 
 Nulls and edges: a null text is the empty text, a null path has no directory
 and inherits nothing. Rows that share a path are scored each on its own. Ties
@@ -23,32 +27,25 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexflow.llm import common
+from codexflow.llm.license_texts import HEADERS, NOTICES, TEXTS, TITLES
 
-#: Short notices of common licences (fixed values).
-TEMPLATES = {
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license. Redistribution in source and binary forms is permitted.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0, Attribution-ShareAlike.",
-    "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0 Universal.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Proprietary": "All rights reserved.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+#: Licence, text, and whether a head like it makes the file a licence file.
+Template = tuple[str, str, bool]
+#: Short notices by licence; and all templates.
+TEMPLATES: dict[str, str] = dict(NOTICES)
+ALL: list[Template] = [(*x, False) for x in NOTICES + TITLES + HEADERS] + [(*x, True) for x in TEXTS]
 #: Words without weight (fixed values).
 STOP = frozenset("a all and by for form forms in into is it of or the this to under use v with work".split())
-#: Least cosine of a notice; lines of a head; terms of a text that the SQL takes as a licence file (the scan takes all).
-LEAST, HEAD_LINES, FILE_TERMS = 0.6, 12, 400
+#: Least cosine; lines in a group, and how far apart groups start.
+LEAST, GROUP_LINES, GROUP_STEP = 0.6, 12, 6
+
+
+def listed(templates: dict[str, str] | list[Template]) -> list[Template]:
+    return [(k, v, False) for k, v in templates.items()] if isinstance(templates, dict) else list(templates)
 
 
 def terms_of(text: str) -> list[str]:
@@ -56,62 +53,103 @@ def terms_of(text: str) -> list[str]:
     return [t for t in re.findall("[a-z0-9]+", text.lower()) if t not in STOP]
 
 
-def template_weights(templates: dict[str, str]) -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
-    """(licence, term, unit weight) of every template, the terms' idf, and that of unseen terms."""
-    counts = {name: Counter(terms_of(text)) for name, text in templates.items()}
-    n, df = len(counts), Counter(t for c in counts.values() for t in c)
+def _weights(templates: list[Template]) -> tuple[list[tuple[int, str, float]], dict[str, float], float]:
+    """(place, term, unit weight) of every template, the terms' idf, and that of unseen terms."""
+    counts = [Counter(terms_of(text)) for _, text, _ in templates]
+    n, df = len(counts), Counter(t for c in counts for t in c)
     idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
     rows = []
-    for name, c in counts.items():
+    for i, c in enumerate(counts):
         norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in c.items()))
-        rows += [(name, t, k * idf[t] / norm) for t, k in c.items()]
+        rows += [(i, t, k * idf[t] / norm) for t, k in c.items()]
     return rows, idf, math.log(1 + n) + 1
 
 
-def score_units(units: DataFrame, templates: dict[str, str], least: float = 0.0) -> DataFrame:
-    """Cosines of ``unit`` texts: the keys (all columns but ``unit``), ``license`` and ``score``.
+def template_weights(templates: dict[str, str] | list[Template]) -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
+    """The same with the licence for the template's place."""
+    names = [name for name, _, _ in listed(templates)]
+    rows, idf, unseen = _weights(listed(templates))
+    return [(names[i], t, w) for i, t, w in rows], idf, unseen
+
+
+def anchors(templates: list[Template], least: float) -> list[str]:
+    """Terms of which a unit must have one to reach ``least`` with any template.
+
+    A cosine is at most the norm of the template's terms that the unit has.
+    """
+    by: dict[int, list[tuple[float, str]]] = {}
+    for i, t, w in _weights(templates)[0]:
+        by.setdefault(i, []).append((w, t))
+    out = set()
+    for terms in by.values():
+        rest = 1.0
+        for w, t in sorted(terms, reverse=True):
+            if rest < least**2 * (1 - 1e-9):
+                break
+            out.add(t)
+            rest -= w * w
+    return sorted(out)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: (t != "") & ~t.isin(*sorted(STOP)))
+
+
+def score_words(units: DataFrame, templates: list[Template], least: float = 0.0) -> DataFrame:
+    """Cosines of units of ``words``: the keys (all other columns), ``template`` (its place) and ``score``.
 
     All that reach ``least`` are there, lower ones not always.
     """
     spark = units.sparkSession
-    rows, idf, unseen = template_weights(templates)
-    keys = [c for c in units.columns if c != "unit"]
-    words = F.filter(F.regexp_extract_all(F.lower("unit"), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(*sorted(STOP)))
-    units = units.select(*keys, words.alias("words"))
+    rows, idf, unseen = _weights(templates)
+    keys = [c for c in units.columns if c != "words"]
     if least > 0:
         # The cosine is at most that of the unit to its own template terms: long prose
         # around a few of them can't reach the bound and is left out before any shuffle.
         known = F.size(F.filter("words", lambda t: t.isin(*sorted(idf))))
         others = F.size(F.array_distinct(F.filter("words", lambda t: ~t.isin(*sorted(idf)))))
+        units = units.filter(F.exists("words", lambda t: t.isin(*anchors(templates, least))))
         units = units.filter(others * (unseen**2) <= (1 / least**2 - 1) * F.pow(known * max(idf.values()), F.lit(2)) * (1 + 1e-9))
     terms = units.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     # The templates' terms: as many as the templates have.
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    weight = F.broadcast(spark.createDataFrame(rows, "license string, term string, weight double"))
+    weight = F.broadcast(spark.createDataFrame(rows, "template int, term string, weight double"))
     terms = terms.join(known, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     norms = terms.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("seen"))
     hits = norms.select(*keys, "norm", F.explode("seen").alias("s")).select(*keys, "norm", "s.term", "s.w").join(weight, "term")
-    return hits.groupBy(*keys, "license").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("score"))
+    return hits.groupBy(*keys, "template").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("score"))
+
+
+def _named(spark: SparkSession, templates: list[Template]) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(i, name, whole) for i, (name, _, whole) in enumerate(templates)], "template int, license string, whole boolean"))
+
+
+def score_units(units: DataFrame, templates: dict[str, str] | list[Template], least: float = 0.0) -> DataFrame:
+    """Best cosines of ``unit`` texts by licence: the keys (all columns but ``unit``), ``license`` and ``score``."""
+    keys = [c for c in units.columns if c != "unit"]
+    found = score_words(units.select(*keys, _words(F.col("unit")).alias("words")), listed(templates), least)
+    return found.join(_named(units.sparkSession, listed(templates)), "template").groupBy(*keys, "license").agg(F.max("score").alias("score"))
 
 
-def scan_files(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan_files(files: DataFrame, templates: dict[str, str] | list[Template] = ALL, least: float = LEAST) -> DataFrame:
     """Own notices of ``(uid, path, text)`` rows that have any: ``uid``, ``license``, ``score``, ``is_file``."""
-    idf = template_weights(templates)[1]
-    any_term = "(?<![a-z0-9])(?:" + "|".join(sorted(idf)) + ")(?![a-z0-9])"
-    low = F.lower(common.text_or_empty())
-    some = files.select("uid", common.text_or_empty().alias("text")).filter(low.rlike(any_term)).withColumn("lines", F.split("text", "\n"))
-    line = F.filter("lines", lambda x: F.lower(x).rlike(any_term))
-    head = F.array_join(F.slice("lines", 1, HEAD_LINES), "\n")
+    templates, bound = listed(templates), least - 1e-6
+    some = files.select("uid", common.text_or_empty().alias("text"))
+    some = some.filter(F.exists(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t.isin(*anchors(templates, bound))))
+    some = some.select("uid", F.transform(F.split("text", "\n"), _words).alias("lines"))
+    starts = F.sequence(F.lit(0), F.ceil(F.greatest(F.size("lines") - GROUP_LINES, F.lit(0)) / GROUP_STEP).cast("int"))
     parts = F.concat(
-        F.transform(line, lambda x: F.struct(F.lit("line").alias("kind"), x.alias("unit"))),
-        F.array(F.struct(F.lit("head").alias("kind"), head.alias("unit"))),
-        F.array(F.struct(F.lit("file").alias("kind"), F.col("text").alias("unit"))),
+        F.transform("lines", lambda x: F.struct(F.lit("line").alias("kind"), x.alias("words"))),
+        F.transform(starts, lambda i: F.struct(F.when(i == 0, "head").otherwise("group").alias("kind"), F.flatten(F.slice("lines", i * GROUP_STEP + 1, GROUP_LINES)).alias("words"))),
+        F.array(F.struct(F.lit("file").alias("kind"), F.flatten("lines").alias("words"))),
     )
-    units = some.select("uid", F.posexplode(parts).alias("at", "part")).select("uid", "at", "part.kind", "part.unit")
-    found = score_units(units, templates, least - 1e-6).withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
+    units = some.select("uid", F.posexplode(parts).alias("at", "part")).select("uid", "at", "part.kind", "part.words")
+    found = score_words(units, templates, bound).withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
+    found = found.join(_named(files.sparkSession, templates), "template")
+    file = (F.col("kind") == "file") | (F.col("kind") == "head") & F.col("whole")
     return found.groupBy("uid").agg(
-        F.min(F.struct(-F.col("score"), "license")).alias("best"), F.max(F.col("kind") == "file").alias("is_file")
-    ).select("uid", "best.license", (-F.col("best.col1")).alias("score"), "is_file")
+        F.min(F.struct((~file).alias("part"), (-F.col("score")).alias("less"), "license")).alias("best")
+    ).select("uid", "best.license", (-F.col("best.less")).alias("score"), (~F.col("best.part")).alias("is_file"))
 
 
 def inherit(files: DataFrame, own: DataFrame) -> DataFrame:
@@ -133,7 +171,7 @@ def inherit(files: DataFrame, own: DataFrame) -> DataFrame:
     return out.select("uid", "path", F.coalesce("license", "dir_license").alias("license"), "score", origin.alias("origin"), F.when(F.col("license").isNull(), F.col("dir_path")).alias("from_path"))
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan_licenses(files: DataFrame, templates: dict[str, str] | list[Template] = ALL, least: float = LEAST) -> DataFrame:
     """Licences of all ``(uid, path, text)`` rows, ``uid`` being unique; the notices are written once."""
     own = common.write_table(scan_files(files, templates, least), "licenses")
     return inherit(files, own)
@@ -147,28 +185,29 @@ def op9_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(files).withColumnRenamed("uid", "doc_id")
 
 
-_VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+_VALUES = ", ".join("({}, '{}', '{}', {})".format(i, k, v.replace("'", "''"), str(whole).lower()) for i, (k, v, whole) in enumerate(ALL))
 _STOPS = ", ".join(f"'{w}'" for w in sorted(STOP))
 OP9_SQL = rf"""
-WITH templates(license, text) AS (VALUES {_VALUES}),
-tt AS (SELECT license, t AS term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM templates) WHERE t NOT IN ({_STOPS}) GROUP BY 1, 2),
+WITH templates(template, license, text, whole) AS (VALUES {_VALUES}),
+tt AS (SELECT template, t AS term, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM templates) WHERE t NOT IN ({_STOPS}) GROUP BY 1, 2),
 idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM templates)) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY 1),
-tw AS (SELECT license, term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY license)) AS weight FROM tt JOIN idf USING (term)),
+tw AS (SELECT template, term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
 files AS (SELECT doc_id AS uid, source || '/' || CAST(doc_id // 16 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
 units AS (
   SELECT uid, 'line' AS kind, i AS pos, string_split(text, chr(10))[i] AS unit FROM files, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)
-  UNION ALL SELECT uid, 'head', 0, array_to_string(string_split(text, chr(10))[1:{HEAD_LINES}], chr(10)) FROM files
-  UNION ALL SELECT uid, 'file', 0, text FROM files WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) <= {FILE_TERMS}
+  UNION ALL SELECT uid, CASE WHEN i = 0 THEN 'head' ELSE 'group' END, i, array_to_string(string_split(text, chr(10))[i * {GROUP_STEP} + 1:i * {GROUP_STEP} + {GROUP_LINES}], chr(10))
+    FROM files, unnest(range(0, CAST(ceil(greatest(len(string_split(text, chr(10))) - {GROUP_LINES}, 0) / {GROUP_STEP}.0) AS BIGINT) + 1)) AS r(i)
+  UNION ALL SELECT uid, 'file', 0, text FROM files
 ), ut AS (
   SELECT uid, kind, pos, t AS term, count(*) AS tf FROM (SELECT uid, kind, pos, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS t FROM units) WHERE t NOT IN ({_STOPS}) GROUP BY 1, 2, 3, 4
 ), uw AS (SELECT ut.*, tf * coalesce(idf, ln(1.0 + (SELECT count(*) FROM templates)) + 1) AS w FROM ut LEFT JOIN idf USING (term)),
 norms AS (SELECT uid, kind, pos, sqrt(sum(w * w)) AS norm FROM uw GROUP BY 1, 2, 3),
 scores AS (
-  SELECT uw.uid, uw.kind, uw.pos, license, round(sum(w * weight) / any_value(norm), 6) AS score FROM uw JOIN tw USING (term) JOIN norms n ON n.uid = uw.uid AND n.kind = uw.kind AND n.pos = uw.pos GROUP BY 1, 2, 3, 4
-), good AS (SELECT * FROM scores WHERE score >= {LEAST}),
+  SELECT uw.uid, uw.kind, uw.pos, template, round(sum(w * weight) / any_value(norm), 6) AS score FROM uw JOIN tw USING (term) JOIN norms n ON n.uid = uw.uid AND n.kind = uw.kind AND n.pos = uw.pos GROUP BY 1, 2, 3, 4
+), good AS (SELECT s.*, license, kind = 'file' OR kind = 'head' AND whole AS speaks FROM scores s JOIN templates USING (template) WHERE score >= {LEAST}),
 own AS (
-  SELECT uid, license, score, is_file FROM (SELECT uid, license, score, bool_or(kind = 'file') OVER (PARTITION BY uid) AS is_file,
-    row_number() OVER (PARTITION BY uid ORDER BY score DESC, license) AS k FROM good) WHERE k = 1
+  SELECT uid, license, score, is_file FROM (SELECT uid, license, score, bool_or(speaks) OVER (PARTITION BY uid) AS is_file,
+    row_number() OVER (PARTITION BY uid ORDER BY speaks DESC, score DESC, license) AS k FROM good) WHERE k = 1
 ), folders AS (
   SELECT dir, license AS dir_license, path AS dir_path FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, path,
     row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, license, path) AS k FROM own JOIN files USING (uid) WHERE is_file) WHERE k = 1
