@@ -1,7 +1,7 @@
 """References out of plain text: blocks, three parsers, venues, comparison of backends.
 
 A parser is a set of column expressions over one line of text; the first that
-fits wins. Lines become blocks by a running count over each document's lines.
+fits wins. Lines become blocks within their document's row.
 """
 
 from __future__ import annotations
@@ -28,15 +28,19 @@ def reference_blocks(texts: DataFrame, key: str = "doc_id", text: str = "text")
     A blank line or a numbered start ends a block; lines under 20 characters
     are left out before they could start one.
     """
-    lines = texts.select(key, F.posexplode(F.split(F.regexp_replace(T.text(text), "\r\n?", "\n"), "\n")).alias("at", "raw"))
-    said = F.btrim(F.col("raw"), F.lit(" \t\f\x0b"))
-    lines = lines.select(key, "at", said.rlike(START).alias("starts"), T.collapse(F.regexp_replace(said, START, "")).alias("line"), (said == "").alias("blank"))
-    lines = lines.filter((F.length("line") >= LEAST_CHARS) | F.col("blank"))
-    w = Window.partitionBy(key).orderBy("at")
-    first = F.col("starts") | F.coalesce(F.lag("blank").over(w), F.lit(True))
-    lines = lines.withColumn("new", F.when(~F.col("blank") & first, 1).otherwise(0)).withColumn("ordinal", F.sum("new").over(w)).filter("not blank")
-    parts = F.array_sort(F.collect_list(F.struct("at", "line")))
-    return lines.groupBy(key, "ordinal").agg(F.array_join(F.transform(parts, lambda x: x["line"]), " ").alias("line"))
+    def line(raw: Column) -> Column:
+        said = F.btrim(raw, F.lit(" \t\f\x0b"))
+        return F.struct(said.rlike(START).alias("starts"), F.translate(T.collapse(F.regexp_replace(said, START, "")), "\x01", " ").alias("line"), (said == "").alias("blank"))
+
+    raw = F.split(F.regexp_replace(T.text(text), "\r\n?", "\n"), "\n")
+    kept = texts.select(key, F.filter(F.transform(raw, line), lambda x: (F.length(x["line"]) >= LEAST_CHARS) | x["blank"]).alias("lines"))
+    # Lines are put together within their row, so no text is shuffled: a mark stands before each block.
+    first = lambda x, i: x["starts"] | (i == 0) | F.get(F.col("lines"), i - 1)["blank"]
+    marked = F.transform("lines", lambda x, i: F.when(x["blank"], "").otherwise(F.concat(F.when(first(x, i), "\x01").otherwise(" "), x["line"])))
+    blocks = F.split(F.array_join(marked, ""), "\x01")
+    # What stands before the first mark is empty.
+    rows = kept.select(key, F.posexplode(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))).alias("at", "line"))
+    return rows.select(key, (F.col("at") + 1).cast("long").alias("ordinal"), "line")
 
 
 def _before(c: Column, pattern: str) -> Column:

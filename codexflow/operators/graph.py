@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codexflow.functions import bibliographic as B
 from codexflow.functions import text as T
+from codexflow.operators.lineage import cut
 
 
 def all_edges(relations: DataFrame) -> DataFrame:
@@ -25,7 +26,8 @@ def traverse(
     to known nodes too. Targets without an entry are told but not expanded.
     With ``review_status`` other targets are neither; ``include_missing``
     matters only then. The levels' number is a parameter, so the plan has a
-    known size; a node is expanded at its least depth.
+    known size; a node is expanded at its least depth. From the third level on
+    each level's frontier is kept, so earlier levels aren't computed again.
     """
     edges = all_edges(relations).filter(F.col("relation").isin(*relation_types))
     known = entries.select(F.col("citation_key").alias("target"), F.col("review_status").alias("target_review_status"), F.col("title").alias("target_title"), F.lit(True).alias("_known"))
@@ -39,6 +41,7 @@ def traverse(
         out = met if out is None else out.unionByName(met)
         if depth < max_depth:
             frontier = met.filter("target_exists").select(F.col("target").alias("source")).distinct().join(visited, "source", "left_anti")
+            frontier = cut(frontier) if max_depth > 2 else frontier
             visited = visited.unionByName(frontier)
     return out.select("source", "target", "relation", "depth", "target_exists", "target_review_status", "target_title")
 
@@ -122,5 +125,6 @@ def expand_rounds(relations: DataFrame, entries: DataFrame, seeds: DataFrame, ro
     for i in range(1, rounds + 1):
         found = first.join(level.select(F.col("citation_key").alias("source")), "source", "left_semi").select(F.col("target").alias("citation_key")).distinct()
         level = found.join(out.select("citation_key"), "citation_key", "left_anti").withColumn("round", F.lit(i))
+        level = cut(level) if rounds > 2 else level
         out = out.unionByName(level)
     return out

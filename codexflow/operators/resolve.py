@@ -77,11 +77,20 @@ def verify(queries: DataFrame, candidates: DataFrame, keep: int = 4) -> DataFram
     return out.select("query_id", "rank", "citation_key", "score", match_status(F.col("score"), F.col("doi")).alias("status"))
 
 
-def exact_matches(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The first candidate by ordinal with the same normalised title, no other year, and a common author word."""
+def exact_matches(queries: DataFrame, candidates: DataFrame, others_only: bool = False) -> DataFrame:
+    """The first candidate by ordinal with the same normalised title, no other year, and a common author word.
+
+    With ``others_only`` a candidate whose ordinal is the query's id is the
+    query itself and doesn't count. Candidates that agree in title, year and
+    author words are told by their first two, so copies don't meet in pairs.
+    """
     q = queries.select("query_id", T.match_text(F.col("title")).alias("t"), T.text("year").alias("q_year"), T.author_tokens(F.col("author")).alias("q_authors")).filter("t <> ''")
     c = candidates.select("citation_key", "ordinal", T.match_text(F.col("title")).alias("t"), T.text("year").alias("c_year"), T.author_tokens(F.col("author")).alias("c_authors"))
     ok = ((F.col("q_year") == "") | (F.col("c_year") == "") | (F.col("q_year") == F.col("c_year"))) & ((F.size("q_authors") == 0) | F.arrays_overlap("q_authors", "c_authors"))
+    first = Window.partitionBy("t", "c_year", "c_authors").orderBy("ordinal", "citation_key")
+    c = c.withColumn("_r", F.row_number().over(first)).filter("_r <= 2").drop("_r")
+    if others_only:
+        ok = ok & (F.col("ordinal") != F.col("query_id"))
     return q.join(c, "t").filter(ok).groupBy("query_id").agg(F.min_by("citation_key", "ordinal").alias("citation_key"))
 
 

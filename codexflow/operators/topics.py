@@ -113,9 +113,11 @@ def rank_candidates(candidates: DataFrame, topic: str, seeds: DataFrame, limit:
     shared = F.size(F.array_intersect(words, F.array_union(T.tokens(F.col("title")), T.tokens(F.col("abstract")))))
     # Seeds with a word in common, by equality on the words.
     seed_words = seeds.select(F.col("citation_key").alias("seed"), F.explode(T.tokens(F.col("title"))).alias("word"))
-    rows = candidates.withColumn("row", F.struct("citation_key", "source"))
-    pairs = rows.select("row", F.explode(T.tokens(F.col("title"))).alias("word")).join(seed_words, "word").groupBy("row").agg(F.count_distinct("seed").alias("n_seeds"))
+    # Rows of one key and source may differ in title, so seeds are counted for each title.
+    rows = candidates.withColumn("_title", T.text("title"))
+    titles = rows.select("_title").distinct()
+    pairs = titles.select("_title", F.explode(T.tokens(F.col("_title"))).alias("word")).join(seed_words, "word").groupBy("_title").agg(F.count_distinct("seed").alias("n_seeds"))
     order = F.create_map(*[F.lit(x) for i, k in enumerate(SOURCE_SCORES) for x in (k, -i)])
-    scored = rows.join(pairs, "row", "left").withColumn("score", F.coalesce(F.try_element_at(base, F.col("source")), F.lit(0.0)) + shared + 0.25 * F.coalesce("n_seeds", F.lit(0)))
+    scored = rows.join(pairs, "_title", "left").withColumn("score", F.coalesce(F.try_element_at(base, F.col("source")), F.lit(0.0)) + shared + 0.25 * F.coalesce("n_seeds", F.lit(0)))
     best = scored.groupBy("citation_key").agg(F.max_by(F.struct("title", "source", "score"), F.struct("score", F.try_element_at(order, F.col("source")))).alias("b"))
     return best.select("citation_key", "b.*").orderBy(F.desc("score"), "citation_key").limit(limit)

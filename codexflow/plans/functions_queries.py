@@ -199,10 +199,10 @@ def escaped_texts(spark, sf):
     return C.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.escape_html(x).alias("html"), T.escape_dot(x).alias("dot"), T.escape_cell(x).alias("cell"))
 
 
-@query("SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS said FROM (SELECT doc_id, unnest(w[1:20]) AS word, unnest(range(1, least(len(w), 20) + 1)) AS p FROM (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents WHERE lang = 'en')) GROUP BY doc_id")
+@query("SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS said FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents)) GROUP BY doc_id")
 def inverted_index_text(spark, sf):
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda x: x != "")
-    rows = C.table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.posexplode(F.slice(words, 1, 20)).alias("p", "w"))
+    rows = C.table(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("p", "w"))
     index = rows.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     return index.select("doc_id", B.inverted_text(F.col("index")).alias("said"))
 

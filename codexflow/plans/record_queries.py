@@ -199,15 +199,3 @@ def topic_pages(spark, sf):
 @query("SELECT 'node' AS kind, count(*) AS n FROM entries UNION ALL SELECT 'edge', (SELECT count(*) FROM relations) + (SELECT count(*) FROM entry_topics)")
 def graph_profile(spark, sf):
     return sinks.graph_profile(C.entries(spark, sf), C.relations(spark, sf), C.entry_topics(spark, sf)).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("SELECT a.vec_id, b.vec_id AS near, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 3) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.3")
-def vector_matches(spark, sf):
-    """Vectors of one label almost alike to each queried one."""
-    v = C.table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    v = v.withColumn("n", norm(F.col("v")))
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "label", F.col("v").alias("qv"), F.col("n").alias("qn"))
-    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    out = v.join(F.broadcast(q), "label").filter("vec_id <> q_id").withColumn("s", dot / (F.col("n") * F.col("qn"))).filter("s > 0.3")
-    return out.select(F.col("q_id").alias("vec_id"), F.col("vec_id").alias("near"), F.round("s", 3).alias("score"))

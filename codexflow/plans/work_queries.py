@@ -194,16 +194,11 @@ def bootstrap_rank(spark, sf):
     e = C.entries(spark, sf)
     c = e.select(F.concat(F.lit("k"), (F.col("entry_id") % 200).cast("string")).alias("citation_key"), "title", "abstract", C._pick(tuple(_BASE), F.col("entry_id")).alias("source"), "entry_id")
     # A candidate of one source may come several times: its best row counts.
-    shared = F.size(F.array_intersect(T.tokens(F.lit("of the thing")), F.array_union(T.tokens(F.col("title")), T.tokens(F.col("abstract")))))
-    seeds = e.filter("entry_id % 250 = 3")
-    words = seeds.select(F.col("citation_key").alias("seed"), F.explode(T.tokens(F.col("title"))).alias("word"))
-    n = c.select("entry_id", F.explode(T.tokens(F.col("title"))).alias("word")).join(words, "word").groupBy("entry_id").agg(F.count_distinct("seed").alias("n"))
-    base = F.create_map(*[F.lit(x) for kv in _BASE.items() for x in kv])
-    score = base[F.col("source")] + shared + 0.25 * F.coalesce("n", F.lit(0))
-    return c.join(n, "entry_id", "left").groupBy("citation_key").agg(F.max(score).alias("score")).orderBy(F.desc("score"), "citation_key").limit(25)
+    seeds = e.filter("entry_id % 250 = 3").select("citation_key", "title")
+    return topics.rank_candidates(c.drop("entry_id"), "of the thing", seeds, 25).select("citation_key", "score")
 
 
-@query(f"""WITH q AS (SELECT entry_id AS query_id, title AS qt, author AS qa, CAST(TRY_CAST(year AS INT) + entry_id % 2 AS VARCHAR) AS qy, {_tokens("title")} AS qw FROM entries WHERE entry_id % 20 = 3),
+@query(f"""WITH q AS (SELECT entry_id AS query_id, title AS qt, author AS qa, CAST(TRY_CAST(year AS INT) + entry_id % 2 AS VARCHAR) AS qy, {_tokens("title")} AS qw FROM entries),
 p AS (SELECT q.*, e.citation_key, e.title, e.author, e.year, e.doi, len(list_intersect(qw, {_tokens("e.title")})) / greatest(len(qw), 1) AS ov FROM q, entries e WHERE len(qw) > 0),
 s AS (SELECT query_id, citation_key, title, coalesce(year, '') AS year, coalesce(doi, '') AS doi, round(CAST(0 AS DOUBLE) + (CASE WHEN ov >= 0.9 THEN 0.55 WHEN ov >= 0.7 THEN 0.40 WHEN ov >= 0.5 THEN 0.20 ELSE 0 END)
   + (CASE WHEN qa <> '' AND split_part(qa, ',', 1) = split_part(coalesce(author, ''), ',', 1) THEN 0.25 ELSE 0 END)
@@ -214,7 +209,7 @@ SELECT q.query_id, CAST(coalesce(rank, 1) AS INT) AS rank, citation_key, score,
 FROM q LEFT JOIN r ON r.query_id = q.query_id AND rank <= 4""")
 def verify_score_top4(spark, sf):
     e = C.entries(spark, sf)
-    q = e.filter("entry_id % 20 = 3").select(F.col("entry_id").alias("query_id"), "title", "author", (F.col("year").cast("int") + F.col("entry_id") % 2).cast("string").alias("year"))
+    q = e.select(F.col("entry_id").alias("query_id"), "title", "author", (F.col("year").cast("int") + F.col("entry_id") % 2).cast("string").alias("year"))
     return resolve.verify(q, e)
 
 
@@ -233,11 +228,7 @@ def title_match_exact(spark, sf):
     q = e.select(F.col("entry_id").alias("query_id"), "title", "author", "year")
     # Each entry against the others: the first other one by id.
     c = e.select("citation_key", F.col("entry_id").alias("ordinal"), "title", "author", "year")
-    k = lambda df, *cols: df.withColumn("t", T.match_text(F.col("title"))).filter("t <> ''").select(*cols)
-    qq = k(q, "query_id", "t", T.text("year").alias("qy"), T.author_tokens(F.col("author")).alias("qa"))
-    cc = k(c, "citation_key", "ordinal", "t", T.text("year").alias("cy"), T.author_tokens(F.col("author")).alias("ca"))
-    ok = (F.col("ordinal") != F.col("query_id")) & ((F.col("qy") == "") | (F.col("cy") == "") | (F.col("qy") == F.col("cy"))) & ((F.size("qa") == 0) | F.arrays_overlap("qa", "ca"))
-    return qq.join(cc, "t").filter(ok).groupBy("query_id").agg(F.min_by("citation_key", "ordinal").alias("citation_key"))
+    return resolve.exact_matches(q, c, others_only=True)
 
 
 def _cat(c: str) -> str:
@@ -245,11 +236,11 @@ def _cat(c: str) -> str:
 
 
 @query(f"""WITH n AS (SELECT *, {_cat("title")} AS w FROM entries), p AS (SELECT q.entry_id AS query_id, c.citation_key, round(len(list_intersect(q.w, c.w)) / len(list_distinct(list_concat(q.w, c.w))), 6) AS score
-FROM n q, n c WHERE q.entry_id % 10 = 7 AND len(q.w) > 0 AND len(c.w) > 0 AND (q.year IS NULL OR c.year IS NULL OR q.year = c.year))
+FROM n q, n c WHERE len(q.w) > 0 AND len(c.w) > 0 AND (q.year IS NULL OR c.year IS NULL OR q.year = c.year))
 SELECT query_id, citation_key, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation_key) AS k FROM p WHERE score >= 0.6) WHERE k = 1""")
 def title_match_jaccard(spark, sf):
     e = C.entries(spark, sf)
-    return resolve.catalog_matches(e.filter("entry_id % 10 = 7").select(F.col("entry_id").alias("query_id"), "title", "year"), e)
+    return resolve.catalog_matches(e.select(F.col("entry_id").alias("query_id"), "title", "year"), e)
 
 
 _CASC = "[" + ", ".join(f"'{s}'" for s in resolve.CASCADE) + "]"
@@ -326,10 +317,10 @@ def claim_rows(spark, sf):
     return claims.claim_rows(C.table(spark, sf, "conversations"), ["conv_id", "turn"], least=45)
 
 
-@query("""WITH w AS (SELECT conv_id * 1000 + turn AS claim_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{4,}'), lambda x: NOT list_contains(""" + "[" + ", ".join(f"'{x}'" for x in T.CLAIM_STOP) + """], x)))) AS word FROM conversations WHERE turn = 0),
+@query("""WITH w AS (SELECT conv_id * 1000 + turn AS claim_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{4,}'), lambda x: NOT list_contains(""" + "[" + ", ".join(f"'{x}'" for x in T.CLAIM_STOP) + """], x)))) AS word FROM conversations),
 t AS (SELECT citation_key, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]{4,}'), lambda x: NOT list_contains(""" + "[" + ", ".join(f"'{x}'" for x in T.CLAIM_STOP) + """], x))) AS l FROM entries),
 e AS (SELECT citation_key, len(l) AS n, unnest(l) AS word FROM t), s AS (SELECT claim_id, citation_key, round(count(*) / any_value(n), 4) AS score FROM w JOIN e USING (word) GROUP BY 1, 2)
 SELECT claim_id, CAST(k AS INT) AS rank, citation_key, score, CASE WHEN score >= 0.5 THEN 'candidate_support' ELSE 'candidate' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, citation_key) AS k FROM s) WHERE k <= 3""")
 def claim_support(spark, sf):
-    c = C.table(spark, sf, "conversations").filter("turn = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), F.col("text").alias("claim"))
+    c = C.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), F.col("text").alias("claim"))
     return claims.support(c, C.entries(spark, sf))

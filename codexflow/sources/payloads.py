@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexflow.operators.lineage import cut
 from codexflow.functions import bibliographic as B
 from codexflow.functions import text as T
 
@@ -205,14 +206,20 @@ def arxiv(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> Data
 
 
 def pubmed(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
-    """PubMed article XML: labelled abstract parts joined, the year of the issue, else of the free date."""
+    """PubMed article XML: abstract parts joined with their labels, authors one by one, the year of the
+    article's date, else of the issue, else of the issue's free date."""
     b = F.col(body)
-    last, first = (F.xpath(b, F.lit(f"//Author/{n}/text()")) for n in ("LastName", "ForeName"))
-    who = F.array_join(F.transform(F.arrays_zip(last.alias("a"), first.alias("b")), lambda p: F.concat_ws(", ", p["a"], p["b"])), " and ")
-    year = F.coalesce(F.nullif(_x(b, "//PubDate/Year"), F.lit("")), B.found(_x(b, "//PubDate/MedlineDate"), B.QUERY_YEAR, 1))
+    one = lambda x, path: F.nullif(F.trim(F.xpath_string(x, F.lit(path))), F.lit(""))
+    each = F.regexp_extract_all(b, F.lit(r"(?s)<Author\b[^>]*>.*?</Author>"), F.lit(0))
+    name = lambda a: F.coalesce(F.nullif(F.concat_ws(", ", one(a, "//LastName"), F.coalesce(one(a, "//ForeName"), one(a, "//Initials"))), F.lit("")), one(a, "//CollectiveName"))
+    who = F.array_join(F.filter(F.transform(each, name), lambda n: n.isNotNull()), " and ")
+    free = B.found(_x(b, "//PubDate/MedlineDate"), B.QUERY_YEAR, 1)
+    year = F.coalesce(*[F.nullif(_x(b, p), F.lit("")) for p in ("//ArticleDate/Year", "//PubDate/Year")], free)
     doi, pmid = _x(b, "//ArticleId[@IdType='doi']"), F.regexp_replace(_x(b, "//PMID"), r"\D", "")
     title = F.regexp_replace(_x(b, "//ArticleTitle"), r"\.$", "")
-    words = F.array_join(F.xpath(b, F.lit("//AbstractText/text()")), " ")
+    parts = F.regexp_extract_all(b, F.lit(r"(?s)<AbstractText\b[^>]*>.*?</AbstractText>"), F.lit(0))
+    part = lambda p: F.concat_ws(": ", F.nullif(F.xpath_string(p, F.lit("/AbstractText/@Label")), F.lit("")), one(p, "/AbstractText"))
+    words = F.array_join(F.filter(F.transform(parts, part), lambda p: p != ""), " ")
     return _record(df, list(keep), entry_type=F.lit("article"), citation_key=B.pubmed_key(doi, pmid, who, year, title), title=title, author=who, year=year, journal=_x(b, "//Journal/Title"), volume=_x(b, "//Volume"), number=_x(b, "//Issue"), pages=B.normalize_pages(_x(b, "//MedlinePgn")), doi=doi, abstract=T.collapse(words), extra=F.create_map(F.lit("pmid"), pmid))
 
 
@@ -248,12 +255,19 @@ def resumption_token(body: Column) -> Column:
     return B.found(body, r"<resumptionToken[^>]*>([^<]+)</resumptionToken>", 1)
 
 
-def oai_pages(first: DataFrame, stored: DataFrame, most: int = 100) -> DataFrame:
-    """Pages ``(token, body)`` followed from the first by their tokens, at most so many."""
-    page, out = first.select("body"), first.select("body")
-    for _ in range(most - 1):
-        tokens = page.select(resumption_token(F.col("body")).alias("token")).filter("token is not null")
-        page = tokens.join(stored, "token").select("body")
+def oai_pages(first: DataFrame, stored: DataFrame, most: int | None = None) -> DataFrame:
+    """Pages ``(token, body)`` followed from the first by their tokens, until no page has a new one.
+
+    ``most`` is the caller's limit, if any. Each page is kept before the next is
+    looked up; a token that came before ends the walk.
+    """
+    page = out = first.select("body")
+    seen = None
+    while most is None or (most := most - 1) > 0:
+        tokens = page.select(resumption_token(F.col("body")).alias("token")).filter("token is not null").distinct()
+        new = cut(tokens if seen is None else tokens.join(seen, "token", "left_anti"))
+        seen = new if seen is None else seen.unionByName(new)
+        page = cut(new.join(stored, "token").select("body"))
         if page.limit(1).count() == 0:
             break
         out = out.unionByName(page)

@@ -28,15 +28,26 @@ def upsert_stream(changes: DataFrame, table: str, keys: list[str], checkpoint: s
     """Upsert each micro-batch into a table by writing its next version, ``{table}/v={batch}``.
 
     A batch that is run again writes the same version from the one before, so
-    the outcome is exactly once. Returns the started query.
+    the outcome is exactly once. The one before is the last whole version under
+    this number; only a table without any starts empty, and only at the first
+    batch: otherwise its history is lost and the batch fails. The version before
+    the last is kept for readers, older ones are removed. Returns the started query.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = lambda n: f"{table}/v={n}"
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path(number - 1))
-        there = number > 0 and fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-        old = spark.read.parquet(path(number - 1)) if there else spark.createDataFrame([], batch.drop("ordinal").schema)
-        store.upsert(old, batch, keys, keep_old).write.mode("overwrite").parquet(path(number))
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(table)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        at = lambda n: jvm.org.apache.hadoop.fs.Path(f"{table}/v={n}")
+        named = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        versions = sorted(int(n[2:]) for n in named if n.startswith("v=") and n[2:].isdigit())
+        whole = [n for n in versions if n < number and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{table}/v={n}/_SUCCESS"))]
+        if number > 0 and not whole:
+            raise RuntimeError(f"no version of {table} before batch {number}: its history is missing")
+        old = spark.read.parquet(f"{table}/v={whole[-1]}") if whole else spark.createDataFrame([], batch.drop("ordinal").schema)
+        store.upsert(old, batch, keys, keep_old).write.mode("overwrite").parquet(f"{table}/v={number}")
+        for n in whole[:-1]:
+            fs.delete(at(n), True)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
