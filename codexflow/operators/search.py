@@ -58,12 +58,66 @@ def search_text(entries: DataFrame, phrase: str, limit: int | None = 10, members
     found = rows.filter("f > 0")
     if members is not None:
         found = found.join(members.select("citation_key"), "citation_key", "left_semi")
+    # The statistics are one row.
+    scored = found.crossJoin(F.broadcast(stats)).select("citation_key", "title", "year", bm25().alias("score"))
+    return scored if limit is None else scored.orderBy("score", "citation_key").limit(limit)
+
+
+def postings(entries: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """The positions of each term in each column: ``term, citation_key, column, positions``."""
+    tokens = lambda c: F.regexp_extract_all(T.fold(T.text(c)), F.lit(_TOKEN), F.lit(0))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("words")) for c in columns]))
+    words = entries.select("citation_key", each.alias("e")).select("citation_key", "e.column", F.posexplode("e.words").alias("at", "term"))
+    return words.groupBy("term", "citation_key", "column").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+
+
+#: Parts of the postings by their term's hash: a phrase reads only its own.
+PARTS = 64
+
+
+def _part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
+def write_index(entries: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS) -> None:
+    """Write the index's three tables: postings by part, rows with their size, and the corpus' statistics."""
+    size = sum((token_count(F.col(c)) for c in columns), F.lit(0))
+    entries.select("citation_key", "title", "year", size.cast("long").alias("d")).write.mode("overwrite").parquet(f"{path}/rows")
+    rows = entries.sparkSession.read.parquet(f"{path}/rows")
+    rows.agg(F.count("*").alias("n_rows"), F.avg("d").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
+    found = postings(entries, columns).withColumn("part", _part(F.col("term")))
+    # Terms go to their part's files in order, so a term's rows are found by the files' statistics.
+    found.repartition(PARTS, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+
+
+def search_index(spark, path: str, phrase: str, limit: int | None = 10, members: DataFrame | None = None) -> DataFrame:
+    """``search_text`` from a written index: reads the postings of the phrase's terms alone."""
+    tokens = phrase_tokens(phrase)
+    rows = spark.read.parquet(f"{path}/rows")
+    if not tokens:
+        return rows.select("citation_key", "title", "year", F.lit(0.0).alias("score")).limit(0)
+    every = spark.read.parquet(f"{path}/postings")
+    hit = None
+    for i, t in enumerate(tokens):
+        # The part's number is a constant, so other parts' folders aren't listed.
+        part = spark.range(1).select(_part(F.lit(t))).first()[0]
+        one = every.filter((F.col("part") == part) & (F.col("term") == t)).select("citation_key", "column", F.expr(f"transform(positions, p -> p - {i})").alias("p"))
+        # Positions where the phrase would begin, of all its terms.
+        hit = one if hit is None else hit.join(one.withColumnRenamed("p", "q"), ["citation_key", "column"]).select("citation_key", "column", F.array_intersect("p", "q").alias("p")).filter(F.size("p") > 0)
+    f = hit.groupBy("citation_key").agg(F.sum(F.size("p")).alias("f"))
+    stats = spark.read.parquet(f"{path}/stats").crossJoin(F.broadcast(f.agg(F.count("*").alias("n_hit"))))
+    if members is not None:
+        f = f.join(members.select("citation_key"), "citation_key", "left_semi")
+    scored = f.join(rows, "citation_key").crossJoin(F.broadcast(stats)).select("citation_key", "title", "year", bm25().alias("score"))
+    return scored if limit is None else scored.orderBy("score", "citation_key").limit(limit)
+
+
+def bm25() -> Column:
+    """The score of a row from its hits ``f`` and size ``d`` and the corpus' ``n_rows``, ``n_hit`` and ``mean``."""
     idf = F.ln((F.col("n_rows") - F.col("n_hit") + 0.5) / (F.col("n_hit") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     norm = F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("mean"))
-    # The statistics are one row.
-    scored = found.crossJoin(F.broadcast(stats)).select("citation_key", "title", "year", (-idf * F.col("f") * (K1 + 1) / norm).alias("score"))
-    return scored if limit is None else scored.orderBy("score", "citation_key").limit(limit)
+    return -idf * F.col("f") * (K1 + 1) / norm
 
 
 def search_like(entries: DataFrame, text: str, limit: int | None = 10, columns: tuple[str, ...] = COLUMNS) -> DataFrame:

@@ -246,3 +246,54 @@ def test_stream_of_upserts(spark, tmp_path):
     q = ingest.upsert_stream(spark.readStream.schema("id int, v string, ordinal int").parquet(str(src)), out, ["id"], str(tmp_path / "cp"))
     q.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(f"{out}/v=1").collect())) == [(1, "a"), (2, "c"), (3, None)]
+
+
+def test_pubmed_authors_dates_and_labels_one_by_one(spark):
+    xml = (
+        "<PubmedArticle><PMID>7</PMID><ArticleTitle>On it.</ArticleTitle><ArticleDate><Year>1999</Year></ArticleDate><PubDate><Year>2000</Year></PubDate>"
+        "<AuthorList><Author><CollectiveName>Consortium</CollectiveName></Author><Author><LastName>Lee</LastName><ForeName>Ann</ForeName></Author><Author><LastName>Ray</LastName></Author></AuthorList>"
+        '<Abstract><AbstractText Label="AIMS">To see.</AbstractText><AbstractText>Seen.</AbstractText></Abstract></PubmedArticle>'
+    )
+    r = payloads.pubmed(spark.createDataFrame([(xml,)], "body string")).first()
+    assert r.author == "Consortium and Lee, Ann and Ray" and r.year == "1999" and r.abstract == "AIMS: To see. Seen."
+
+
+def test_pages_are_followed_to_the_end_and_circles_end(spark):
+    page = lambda i, to: f"<x>{i}</x>" + (f"<resumptionToken>t{to}</resumptionToken>" if to else "")
+    stored = spark.createDataFrame([(f"t{i}", page(i, i + 1 if i < 12 else 0)) for i in range(1, 13)], "token string, body string")
+    first = spark.createDataFrame([(page(0, 1),)], "body string")
+    assert payloads.oai_pages(first, stored).count() == 13
+    circle = spark.createDataFrame([("t1", page(1, 2)), ("t2", page(2, 1))], "token string, body string")
+    assert payloads.oai_pages(first, circle).count() == 3
+
+
+def test_blocks_within_a_row(spark):
+    text = "1. First reference that is long enough\ngoes on over another line\n\nshort\nA second block without number here\n[3] Third block starts with its number\n\n"
+    rows = [(1, text), (2, None), (3, "\n\n"), (4, "tiny"), (None, "a line of more than twenty characters")]
+    got = sorted((tuple(r) for r in extract.reference_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([
+        (1, 1, "First reference that is long enough goes on over another line"), (1, 2, "A second block without number here"), (1, 3, "Third block starts with its number"),
+        (None, 1, "a line of more than twenty characters"),
+    ], key=str)
+
+
+def test_a_stream_without_its_history_fails(spark, tmp_path):
+    import shutil
+
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    row = lambda v: spark.createDataFrame([(1, v, 1)], "id int, v string, ordinal int").coalesce(1).write.mode("append").parquet(str(src))
+    run = lambda: ingest.upsert_stream(spark.readStream.schema("id int, v string, ordinal int").parquet(str(src)), out, ["id"], str(tmp_path / "cp"))
+    for v in "abc":
+        row(v)
+        run().awaitTermination()
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["v=1", "v=2"]
+    shutil.rmtree(out)
+    row("d")
+    with pytest.raises(Exception, match="history is missing"):
+        run().awaitTermination()
+
+
+def test_candidates_of_one_key_and_source_keep_their_own_seeds(spark):
+    c = spark.createDataFrame([("a", "red house", "", "crossref"), ("a", "blue boat", "", "crossref")], "citation_key string, title string, abstract string, source string")
+    seeds = spark.createDataFrame([("s1", "red"), ("s2", "blue")], "citation_key string, title string")
+    assert [r.score for r in topics.rank_candidates(c, "topic", seeds, 5).collect()] == [topics.SOURCE_SCORES["crossref"] + 0.25]
