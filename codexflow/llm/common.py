@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +15,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is read from ``spark.checkpoint.dir``. Where the session names none
-    (local tests) a temporary folder is set there.
+    (local tests) one below the warehouse, which is shared too, is set.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
         found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="codexflow-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -64,6 +60,20 @@ def remove(spark: SparkSession, path: str) -> None:
     _written.pop(path, None)
 
 
+def written() -> set[str]:
+    """The paths of the tables that are kept now."""
+    return set(_written)
+
+
+def release(spark: SparkSession, since: set[str], keep: DataFrame) -> None:
+    """Remove tables written after ``since`` was taken, but those that ``keep`` reads."""
+    used = keep.inputFiles()
+    for path in written() - since:
+        name = path.rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in f for f in used):
+            remove(spark, path)
+
+
 def _remove_all() -> None:
     for path, spark in list(_written.items()):
         if spark.sparkContext._jsc is not None:
