@@ -45,8 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written and read again."""
-    docs = common.read(spark, sf_dir, "documents")
+    """All stages on ``documents``, each written and read again.
+
+    What a stage wrote on its way, and the stage before it, are removed then.
+    """
+    docs, before = common.read(spark, sf_dir, "documents"), common.written()
     for name, stage in STAGES:
         docs = common.write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if docs.inputFiles():
+            common.release(spark, before, docs)
     return docs
