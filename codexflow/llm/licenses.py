@@ -39,7 +39,11 @@ Template = tuple[str, str, bool]
 TEMPLATES: dict[str, str] = dict(NOTICES)
 ALL: list[Template] = [(*x, False) for x in NOTICES + TITLES + HEADERS] + [(*x, True) for x in TEXTS]
 #: Words without weight (fixed values).
-STOP = frozenset("a all and by for form forms in into is it of or the this to under use v with work".split())
+STOP = frozenset(
+    """a all also an and any are as at be been but by can did do does each for form forms from had has have he her his how i if in into is it its may more most no nor not
+    of on one only or other our out she so some such than that the their them then there these they this those to under up us use used v was we were what when where
+    which who will with work would you your""".split()
+)
 #: Least cosine; lines in a group, and how far apart groups start.
 LEAST, GROUP_LINES, GROUP_STEP = 0.6, 12, 6
 
@@ -106,10 +110,12 @@ def score_words(units: DataFrame, templates: list[Template], least: float = 0.0)
     if least > 0:
         # The cosine is at most that of the unit to its own template terms: long prose
         # around a few of them can't reach the bound and is left out before any shuffle.
-        known = F.size(F.filter("words", lambda t: t.isin(*sorted(idf))))
-        others = F.size(F.array_distinct(F.filter("words", lambda t: ~t.isin(*sorted(idf)))))
+        # Of n terms, d of them distinct, the squares of their numbers add up to at most (n - d + 1)**2 + d - 1.
         units = units.filter(F.exists("words", lambda t: t.isin(*anchors(templates, least))))
-        units = units.filter(others * (unseen**2) <= (1 / least**2 - 1) * F.pow(known * max(idf.values()), F.lit(2)) * (1 + 1e-9))
+        units = units.withColumn("_known", F.filter("words", lambda t: t.isin(*sorted(idf)))).withColumn("_d", F.size(F.array_distinct("_known")))
+        squares = F.pow(F.size("_known") - F.col("_d") + 1, F.lit(2)) + F.col("_d") - 1
+        others = F.size(F.array_distinct("words")) - F.col("_d")
+        units = units.filter(others * (unseen**2) <= (1 / least**2 - 1) * squares * max(idf.values()) ** 2 * (1 + 1e-9)).drop("_known", "_d")
     terms = units.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     # The templates' terms: as many as the templates have.
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
