@@ -23,7 +23,9 @@ Characters are compared in lower case with each white-space character as a
 blank; positions are code points of the original text.
 
 Nulls and edges: null texts are empty. Items shorter than ``MIN_CHARS``
-characters are too short to tell and are not searched. Items that share an
+characters are found only unedited and as whole words, since with edits they
+would be found in clean texts; those shorter than a q-gram have nothing to be
+counted and are not searched. Items that share an
 ``item_id`` are each searched; rows that share a ``doc_id`` are each compared
 and their findings joined. Rows with a null id on either side give findings
 with a null id. Empty tables give no findings. Other columns are not read.
@@ -50,9 +52,10 @@ Q, EDITS = 8, 0.1
 WINDOW, STEP = 120, 60
 #: Short windows of items longer than one, how far apart they start, and their part of the share of edits.
 SHORT, SHORT_STEP, SHORT_PART = 60, 4, 0.5
+#: Shorter items are found only as they are.
+MIN_CHARS = 30
 #: More than any place of a window in a text is long.
 REACH = 2 * WINDOW
-MIN_CHARS = 30
 BLOCK_ITEMS, BLOCK_CHARS = 10_000, 20_000_000
 #: Shared q-grams that are looked at together.
 HITS = 500_000
@@ -137,6 +140,11 @@ def _equal(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int] | None
     return None
 
 
+def _in_word(text: np.ndarray, at: int) -> bool:
+    """Whether a word goes on across a place."""
+    return 0 < at < len(text) and chr(text[at - 1]).isalnum() and chr(text[at]).isalnum()
+
+
 @dataclass(frozen=True)
 class Window:
     item_id: int | None
@@ -159,7 +167,7 @@ class _Kind:
 
     def __init__(self, starts: list[list[int]], sizes: list[int], edits: float, q: int):
         self.size = np.array(sizes, np.int64)
-        self.k = np.array([edit_budget(m, edits, q) for m in sizes], np.int64)
+        self.k = np.array([edit_budget(m, edits if m >= MIN_CHARS else 0, q) for m in sizes], np.int64)
         self.bound = self.size - q + 1 - self.k * q
         self.item = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
         self.at = np.array([s for some in starts for s in some], np.int64)
@@ -171,7 +179,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str | None]], edits: float = EDITS, q: int = Q):
         self.q = q
-        kept = [(i, x) for i, x in ((i, codes((text or "").strip())) for i, text in items) if len(x) >= MIN_CHARS]
+        kept = [(i, x) for i, x in ((i, codes((text or "").strip())) for i, text in items) if len(x) >= q]
         self.ids, self.codes = [i for i, _ in kept], [x for _, x in kept]
         starts = [_starts(len(x)) for x in self.codes]
         self.kinds = (
@@ -269,7 +277,10 @@ class Index:
             first = win.at - self.longest + b * (win.k + 1)
             low, high = max(0, first - win.k), min(len(x), first + 2 * (win.k + 1) + len(win.codes) + win.k)
             part = x[low:high]
-            got = _equal(win.codes, part) or align(win.codes, part, win.k)
+            got = _equal(win.codes, part) or (align(win.codes, part, win.k) if win.k else None)
+            # The band of an unedited place begins with it, so no other place of the band is lost here.
+            if got and len(win.codes) < MIN_CHARS and (_in_word(x, low + got[1]) or _in_word(x, low + got[2])):
+                continue
             if got and (w not in found or got[0] < found[w][0]):
                 found[w] = (got[0], low + got[1], low + got[2])
         return [(self._window(kind, w), *f) for w, f in found.items()]

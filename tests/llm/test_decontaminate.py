@@ -127,3 +127,23 @@ def test_several_blocks_give_what_one_gives(spark):
         assert dc.contaminated(d, b.limit(0)).count() == 0 and dc.drop_contaminated(d, b.limit(0)).count() == 20
     finally:
         dc.BLOCK_ITEMS = many
+
+
+def test_items_under_the_least_length_are_found_as_they_are_and_as_whole_words(spark):
+    rng = random.Random(3)
+    items = ["what is 2+2?", "aaaaaaaa", "Name the  capital", "is the sky blue", "seven b"]
+    index = dc.Index(list(enumerate(items)))
+    for _ in range(200):
+        words = [rng.choice([i, i.upper(), "x" + i, i + "x", i[:-1], i.replace("e", "q", 1), "aaaaaaaaa", "word"]) for i in (rng.choice(items) for _ in range(5))]
+        x = "".join(map(chr, dc.codes(" ".join(words))))
+        wanted = set()
+        for n, item in enumerate(items):
+            p = "".join(map(chr, dc.codes(item)))
+            places = [a for a in range(len(x)) if x.startswith(p, a)]
+            alone = [a for a in places if not any(0 < c < len(x) and x[c - 1].isalnum() and x[c].isalnum() for c in (a, a + len(p)))]
+            if alone and len(p) >= dc.Q:
+                wanted.add(n)
+        assert {w.item_id for w, *_ in index.find(x)} == wanted, x
+    docs = spark.createDataFrame([(1, "So, what is 2+2? Four."), (2, "what is 2+2x"), (3, None)], "doc_id long, text string")
+    some = spark.createDataFrame([(1, items[0])], "item_id long, text string")
+    assert sorted(r.doc_id for r in dc.drop_contaminated(docs, some).collect()) == [2, 3]
