@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codexflow.operators.lineage import cut
 from codexflow.functions import bibliographic as B
 from codexflow.functions import text as T
+from codexflow.sources import bibtex
 
 #: The columns of every mapped record.
 COLUMNS = ("entry_type", "citation_key", "title", "author", "year", "journal", "booktitle", "abstract", "doi", "url", "publisher", "volume", "number", "pages", "extra")
@@ -92,6 +93,46 @@ def crossref(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> D
     )
 
 
+def crossref_plain(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Crossref works as the source plugin has them: always articles, whole names given first, keys of author, year and title."""
+    rows = df.select(*keep, F.coalesce(F.from_json(F.get_json_object(body, "$.message"), CROSSREF), F.from_json(body, CROSSREF)).alias("r")).filter("r is not null")
+    r = F.col("r")
+    names = F.transform(F.filter(r["author"], lambda p: T.text(p["family"]) != ""), lambda p: F.concat_ws(" ", F.nullif(p["given"], F.lit("")), p["family"]))
+    year = F.coalesce(*[F.nullif(_first(_first(r[d]["date-parts"])), F.lit(0)) for d in ("published-print", "published-online", "issued", "created")]).cast("string")
+    title = F.array_join(r["title"], " ")
+    or_ = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), other)
+    key = F.concat(F.coalesce(_first(names), F.lit("crossref")), F.lit("_"), F.coalesce(year, F.lit("n.d.")), F.lit("_"), or_(title, T.text(r["DOI"])))
+    return _record(
+        rows, list(keep), entry_type=F.lit("article"), citation_key=key, title=title, author=F.array_join(names, " and "), year=year, doi=r["DOI"], journal=_first(r["container-title"]),
+        publisher=r["publisher"], url=r["URL"], abstract=F.trim(r["abstract"]),
+    )
+
+
+def dblp(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """DBLP records, BibTeX in each body: the first entry of each, with its own key; texts without one give no row."""
+    rows = df.select(*keep, F.get(bibtex.parse_column(F.col(body)), 0).alias("r")).filter("r is not null")
+    fields = F.col("r")["fields"]
+    given = {c: F.try_element_at(fields, F.lit(c)) for c in COLUMNS if c not in ("entry_type", "citation_key", "extra")}
+    rest = F.map_filter(fields, lambda k, _: ~k.isin(*given))
+    return _record(rows, list(keep), entry_type=F.col("r")["entry_type"], citation_key=F.col("r")["citation_key"], **given, extra=rest)
+
+
+def dblp_keys(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The keys of a DBLP search's hits with their ``position``, and the url of each record; a lone hit may stand without a list."""
+    hits = F.get_json_object(body, "$.result.hits.hit")
+    one = "struct<info:struct<key:string>>"
+    found = F.when(F.startswith(F.ltrim(hits), F.lit("[")), F.from_json(hits, f"array<{one}>")).otherwise(F.array(F.from_json(hits, one)))
+    rows = df.select(*keep, F.posexplode(found).alias("position", "_h")).select(*keep, "position", F.col("_h.info.key").alias("dblp_key"))
+    path = F.replace(F.replace(F.url_encode("dblp_key"), F.lit("%2F"), F.lit("/")), F.lit("%3A"), F.lit(":"))
+    return rows.filter(T.text("dblp_key") != "").withColumn("url", F.concat(F.lit("https://dblp.org/rec/"), path, F.lit(".bib")))
+
+
+def dblp_search(df: DataFrame, stored: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A DBLP search's hits as records: each hit's key is looked up among stored responses."""
+    kept = (*keep, "position", "dblp_key")
+    return dblp(lookup(dblp_keys(df, body, keep), stored).filter("body is not null"), "body", kept)
+
+
 def openalex(df: DataFrame, body: str = "body", keep: tuple[str, ...] = (), flavour: str = "resolve") -> DataFrame:
     """OpenAlex works. ``flavour``: ``resolve`` keeps the work's url, ``expand`` doesn't."""
     rows = _json(df, OPENALEX, body, list(keep))

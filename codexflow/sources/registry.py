@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codexflow.sources import payloads
 
 _SOURCES: dict[str, Callable[..., DataFrame]] = {
-    "crossref": payloads.crossref, "openalex": payloads.openalex, "datacite": payloads.datacite, "europepmc": payloads.europepmc, "semanticscholar": payloads.semantic_scholar,
+    "crossref": payloads.crossref, "crossref_plain": payloads.crossref_plain, "dblp": payloads.dblp, "openalex": payloads.openalex, "datacite": payloads.datacite, "europepmc": payloads.europepmc, "semanticscholar": payloads.semantic_scholar,
     "openlibrary": payloads.open_library, "opencitations": payloads.open_citations, "unpaywall": payloads.unpaywall, "arxiv": payloads.arxiv, "pubmed": payloads.pubmed,
 }
 
