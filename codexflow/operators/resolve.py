@@ -25,15 +25,17 @@ def query_fields(value: Column) -> Column:
     return F.struct(title.alias("title"), F.coalesce(F.get(words, 0), F.lit("")).alias("author"), year.alias("year"))
 
 
-def match_score(q_title: Column, q_author: Column, q_year: Column, c_title: Column, c_author: Column, c_year: Column) -> Column:
-    """How well a candidate fits: title words, first author's surname, year."""
-    share = T.overlap(T.tokens(q_title), T.tokens(c_title))
-    title = T.let(share, lambda x: F.when(x >= 0.9, 0.55).when(x >= 0.7, 0.40).when(x >= 0.5, 0.20).otherwise(0.0))
-    mine, other = T.surname(F.get(T.names(q_author), 0)), T.surname(F.get(T.names(c_author), 0))
-    author = T.let(mine, lambda x: F.when((x != "") & (x == other), 0.25).otherwise(0.0))
-    a, b = F.trim(T.text(q_year)), F.trim(T.text(c_year))
-    near = F.coalesce(F.abs(a.try_cast("int") - b.try_cast("int")) == 1, F.lit(False))
-    year = F.when((a == "") | (b == ""), 0.0).when(a == b, 0.15).when(near, 0.07).otherwise(0.0)
+def first_surname(author: Column) -> Column:
+    """The first author's surname, or nothing."""
+    return F.coalesce(T.surname(F.get(T.names(author), 0)), F.lit(""))
+
+
+def match_score(share: Column, q_surname: Column, c_surname: Column, q_year: Column, c_year: Column) -> Column:
+    """How well a candidate fits: the share of the query's title words, first author's surname, year."""
+    title = F.when(share >= 0.9, 0.55).when(share >= 0.7, 0.40).when(share >= 0.5, 0.20).otherwise(0.0)
+    author = F.when((q_surname != "") & (q_surname == c_surname), 0.25).otherwise(0.0)
+    near = F.coalesce(F.abs(q_year.try_cast("int") - c_year.try_cast("int")) == 1, F.lit(False))
+    year = F.when((q_year == "") | (c_year == ""), 0.0).when(q_year == c_year, 0.15).when(near, 0.07).otherwise(0.0)
     return F.least(title + author + year, F.lit(1.0))
 
 
@@ -62,14 +64,17 @@ def verify(queries: DataFrame, candidates: DataFrame, keep: int = 4) -> DataFram
     One row for each kept candidate, by ``rank``; queries without any have one
     row with the status ``not_found``.
     """
-    q = queries.select("query_id", F.col("title").alias("q_title"), F.col("author").alias("q_author"), F.col("year").alias("q_year"))
-    c = candidates.select("citation_key", "title", "author", "year", "doi")
+    # What the score needs is made once a row, not once a pair; a work's doi and title go as a hash of 64 bits.
+    facts = lambda p: [T.tokens(F.col("title")).alias(f"{p}_words"), first_surname(F.col("author")).alias(f"{p}_surname"), F.trim(T.text("year")).alias(f"{p}_year")]
+    work = F.xxhash64(F.lower(T.text("doi")), T.collapse(F.lower(T.text("title")))).alias("work")
+    q, c = queries.select("query_id", *facts("q")), candidates.select("citation_key", "year", "doi", work, *facts("c"))
     pairs = candidate_pairs(queries, candidates).join(q, "query_id").join(c, "citation_key")
-    score = match_score(F.col("q_title"), F.col("q_author"), F.col("q_year"), F.col("title"), F.col("author"), F.col("year"))
     # Sharing a rare word is necessary; the shared part decides.
-    pairs = pairs.filter(T.overlap(T.tokens(F.col("q_title")), T.tokens(F.col("title"))) >= 0.5).withColumn("score", F.round(score, 4))
+    pairs = pairs.withColumn("share", T.overlap(F.col("q_words"), F.col("c_words"))).filter("share >= 0.5").drop("q_words", "c_words")
+    score = match_score(*map(F.col, ("share", "q_surname", "c_surname", "q_year", "c_year")))
+    pairs = pairs.withColumn("score", F.round(score, 4))
     # Works that agree in doi, title and year count once.
-    same = Window.partitionBy("query_id", F.lower(T.text("doi")), T.collapse(F.lower(T.text("title"))), T.text("year")).orderBy("citation_key")
+    same = Window.partitionBy("query_id", "work", T.text("year")).orderBy("citation_key")
     pairs = pairs.withColumn("_s", F.row_number().over(same)).filter("_s = 1")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), T.text("year"), "citation_key")
     best = pairs.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= keep).select("query_id", "rank", "citation_key", "score", "doi")

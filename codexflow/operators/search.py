@@ -86,8 +86,8 @@ def write_index(entries: DataFrame, path: str, columns: tuple[str, ...] = COLUMN
     rows = entries.sparkSession.read.parquet(f"{path}/rows")
     rows.agg(F.count("*").alias("n_rows"), F.avg("d").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
     found = postings(entries, columns).withColumn("part", _part(F.col("term")))
-    # Terms go to their part's files in order, so a term's rows are found by the files' statistics.
-    found.repartition(PARTS, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    # Ranges of term and key: a word of most rows is split over files, and a term's rows are found by the files' statistics.
+    found.repartitionByRange("part", "term", "citation_key").sortWithinPartitions("part", "term", "citation_key").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
 
 
 def search_index(spark, path: str, phrase: str, limit: int | None = 10, members: DataFrame | None = None) -> DataFrame:
