@@ -239,14 +239,15 @@ def _group_links(groups: DataFrame, roots: DataFrame, texts: DataFrame, words: i
     """
     # Each table is written, so that a hot group's rows are only added up, or split by the join's skew handling.
     at = common.write_table(groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "n"), "node"), "members")
-    sizes = at.groupBy("grp").agg(F.min_by("root", "node").alias("main"), F.sum("n").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    sizes = common.write_table(sizes.select("grp", "main", "held"), "sizes")
+    parts = at.groupBy("grp", "root").agg(F.min("node").alias("least"), F.sum("n").alias("n"))
+    held = F.sum("n").alias("held"), (F.sum("n") - F.min_by("n", "least")).alias("asked")
+    sizes = parts.groupBy("grp").agg(F.min_by("root", "least").alias("main"), *held, F.count("*").alias("roots")).filter("roots > 1")
+    sizes = common.write_table(sizes.select("grp", "main", "held", "asked"), "sizes")
+    # Members meet their group's sizes in one join, whose rows are read twice.
     at = common.write_table(at.join(sizes, "grp").withColumn("query", F.col("root") != F.col("main")), "members")
-    asking = common.write_table(at.filter("query").groupBy("grp").agg(F.sum("n").alias("asked")), "asking")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     place = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    at = at.join(asking, "grp")
     data = at.select("grp", "node", "root", F.lit(False).alias("query"), place("held").alias("i"), every("asked").alias("j"))
     asked = at.filter("query").select("grp", "node", "root", F.lit(True).alias("query"), place("asked").alias("j"), every("held").alias("i"))
     rows = data.unionByName(asked).join(texts.select("node", "packed"), "node")
@@ -264,18 +265,28 @@ def _group_links(groups: DataFrame, roots: DataFrame, texts: DataFrame, words: i
             owner = np.repeat(np.arange(len(members)), sizes)
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
-            roots = np.array([r["root"] for r in data])
+            # Components of this block, joined as links are found.
+            label = np.array([r["root"] for r in data])
+            joined: dict[int, int] = {}
             for r in queries:
+                own = r["root"]
+                while own in joined:
+                    own = joined[own]
+                if (label == own).all():
+                    continue
                 x = sets.of(r["node"], r["packed"])
                 lo, hi = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
                 n = hi - lo
                 index = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 shared = np.bincount(owner[index], minlength=len(members))
-                ok = (100 * shared >= 80 * (sizes + len(x) - shared)) & (roots != r["root"])
-                # One link to each other component says as much as all.
-                for root in np.unique(roots[ok]):
+                ok = (100 * shared >= 80 * (sizes + len(x) - shared)) & (label != own)
+                # One link to each component not yet joined says as much as all, so a block's links are fewer than its components.
+                found, first = np.unique(label[ok], return_index=True)
+                for other, k in zip(found.tolist(), np.flatnonzero(ok)[first].tolist()):
                     a.append(r["node"])
-                    b.append(data[int(np.flatnonzero(ok & (roots == root))[0])]["node"])
+                    b.append(data[k]["node"])
+                    joined[other] = own
+                    label[label == other] = own
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")

@@ -125,3 +125,21 @@ def test_components_of_long_paths_and_stars(spark):
     got = {r.node: r.root for r in near_dedup.components(df).collect()}
     assert got == {n: find(n) for n in {n for a, b in links if a != b for n in (a, b)}}
     assert near_dedup.components(df.limit(0)).count() == 0
+
+
+def test_links_of_a_block_are_fewer_than_its_components(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    described = near_dedup.describe(docs, 4)
+    nodes = described.select("node")
+    texts = near_dedup.packed_texts(docs, described, nodes)
+    groups = nodes.selectExpr("1L as grp", "node")
+    none = spark.createDataFrame([], "node long, root long")
+    found = near_dedup._group_links(groups, none, texts, 4)
+    links = found.collect()
+    assert 0 < len(links) < 30
+    assert {r.root for r in near_dedup.components(found).collect()} == {min(r.node for r in nodes.collect())}
+    # Members meet their group's sizes in one join, which is written, not once for each branch.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "grp" in line]
