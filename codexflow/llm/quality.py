@@ -6,8 +6,11 @@ by logistic loss on the difference of their features: the model says how likely
 one document beats the other. The threshold is a quantile of the scores of the
 labelled rows, at the share of worse ones, so that as many pass as are better.
 
-Only a bounded sample of labelled rows (``max_labelled``, by a hash of the id)
-is fitted, on the driver; every document is scored where it lies.
+All labelled rows that aren't held out are fitted. Up to ``BLOCK_ROWS`` of them
+are fitted on the driver; more are dealt by a hash of the id to blocks of about
+that many, where each row enters at least one pair. Executors add up moments,
+gradients and curvatures of a block, and the driver sums one row for each
+block. The threshold is found among the scores of all of them by counting.
 
 Nulls and edges: a null text is the empty text and is scored. Labels without a
 doc_id or quality are left out; of repeated labels the lowest counts. Without
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from codexflow.llm import common
 
-#: The bound on labelled rows that are fitted, and on pairs for each worse one.
-MAX_LABELLED, PAIRS = 20_000, 8
+#: Labelled rows that are paired among themselves, the least pairs for each row of a block's rarer kind, and how many of these a block has at least, if there are.
+BLOCK_ROWS, PAIRS, LEAST = 20_000, 8, 64
 
 FEATURES = (
     "log_words", "upper_words", "symbols", "pipes", "bangs", "digits", "distinct_words", "repeats", "distinct_lines", "word_length",
@@ -100,39 +103,146 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.threshold, -50, 50)))
 
 
-def fit(x: np.ndarray, better: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-2, rounds: int = 25) -> Model:
-    """Learn from rows ``x`` and marks ``better`` by Newton steps on pair differences."""
-    d = 2 * len(FEATURES)
-    if not len(x) or better.all() or not better.any():
-        return Model(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(d), 0.0)
-    mean, scale = x.mean(0), x.std(0) + 1e-3
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     z = np.clip((x - mean) / scale, -6, 6)
-    z = np.hstack([z, np.abs(z)])
+    return np.hstack([z, np.abs(z)])
+
+
+def _differences(z: np.ndarray, better: np.ndarray, pairs: int, seed: int = 0) -> np.ndarray:
+    """Better less worse: each row is in a pair, each of the rarer kind in ``pairs`` at least."""
     good, bad = z[better], z[~better]
-    rng = np.random.default_rng(0)
     few, many = (good, bad) if len(good) < len(bad) else (bad, good)
-    at = rng.integers(0, len(many), (len(few), pairs))
-    diff = (many[at] - few[:, None, :]).reshape(-1, d) * (1 if many is good else -1)
+    if not len(few):
+        return np.zeros((0, z.shape[1]))
+    rng = np.random.default_rng(seed)
+    n = max(pairs * len(few), len(many))
+    turns = np.concatenate([rng.permutation(len(many)) for _ in range(-(-n // len(many)))])[:n]
+    return (many[turns] - few[np.arange(n) % len(few)]) * (1 if many is good else -1)
+
+
+def _slopes(diff: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-np.clip(diff @ w, -50, 50)))
+    return diff.T @ (p - 1), (diff * (p * (1 - p))[:, None]).T @ diff
+
+
+def _newton(slopes, ridge: float, rounds: int) -> np.ndarray:
+    """Weights by Newton steps; ``slopes`` gives number, gradient and curvature of all pairs."""
+    d = 2 * len(FEATURES)
     w = np.zeros(d)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -50, 50)))
-        gradient = diff.T @ (p - 1) / len(diff) + ridge * w
-        hessian = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + ridge * np.eye(d)
-        step = np.linalg.solve(hessian, gradient)
+        n, gradient, curvature = slopes(w)
+        step = np.linalg.solve(curvature / n + ridge * np.eye(d), gradient / n + ridge * w)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    scores = z @ w
-    share = float((~better).mean())
-    low, high = np.quantile(scores, [max(0.0, share - 0.5 / len(x)), min(1.0, share + 0.5 / len(x))])
-    return Model(mean, scale, w, float(low + high) / 2)
+    return w
+
+
+def _places(n: int, worse: int) -> list[float]:
+    """The two ranks, with fractions, whose scores' mean is the threshold."""
+    return [q * (n - 1) for q in (max(0.0, (worse - 0.5) / n), min(1.0, (worse + 0.5) / n))]
 
 
-def learned_rows(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Labelled rows to learn from: those not held out, at most so many by hash."""
+def fit(x: np.ndarray, better: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-2, rounds: int = 25) -> Model:
+    """Learn from rows ``x`` and marks ``better`` by Newton steps on pair differences."""
+    if not len(x) or better.all() or not better.any():
+        return _nothing()
+    mean, scale = x.mean(0), x.std(0) + 1e-3
+    z = _standard(x, mean, scale)
+    diff = _differences(z, better, pairs)
+    w = _newton(lambda w: (len(diff), *_slopes(diff, w)), ridge, rounds)
+    scores = np.sort(z @ w)
+    return Model(mean, scale, w, float(np.mean(np.interp(_places(len(x), int((~better).sum())), np.arange(len(x)), scores))))
+
+
+def _nothing() -> Model:
+    return Model(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(2 * len(FEATURES)), 0.0)
+
+
+def _fit_blocks(rows: DataFrame, n: int, better: int, block_rows: int, pairs: int = PAIRS, ridge: float = 1e-2, rounds: int = 25) -> Model:
+    """``fit`` for the written ``(doc_id, quality, x)`` rows, ``better`` of ``n`` with quality 1, in blocks."""
+    blocks = -(-n // block_rows)
+    d = len(FEATURES)
+    spark = rows.sparkSession
+    # A kind so rare that blocks would lack it goes to several blocks, or to all; extra copies only make pairs.
+    spread = {q: min(blocks, max(1, -(-LEAST * blocks // k))) for q, k in ((True, better), (False, n - better))}
+    copies = F.when(F.col("quality") == 1, spread[True]).otherwise(spread[False])
+    dealt = rows.select("doc_id", (F.col("quality") == 1).alias("better"), "x", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id") + F.col("copy"), F.lit(blocks)))
+
+    def pack(key, table):
+        table = table.sort_values("doc_id")
+        return pd.DataFrame({"block": [key[0]], "x": [np.array(table.x.tolist(), float).tobytes()], "better": [table.better.to_numpy(bool).tobytes()], "first": [(table["copy"] == 0).to_numpy(bool).tobytes()]})
+
+    packed = common.write_table(dealt.groupBy("block").applyInPandas(pack, "block long, x binary, better binary, first binary"), "learned")
+
+    def each(f, schema):
+        """``f(x, better, first, block)`` of every block, in the order of the blocks where collected."""
+
+        def work(batches):
+            for batch in batches:
+                for r in batch.itertuples():
+                    got = f(np.frombuffer(r.x).reshape(-1, d), np.frombuffer(r.better, bool), np.frombuffer(r.first, bool), r.block)
+                    yield pd.DataFrame({"block": r.block, "v": got})
+
+        return packed.mapInPandas(work, schema)
+
+    def summed(f):
+        got = each(lambda *a: [np.concatenate([np.ravel(v) for v in f(*a)]).tolist()], "block long, v array<double>").collect()
+        return np.sum([r.v for r in sorted(got, key=lambda r: r.block)], axis=0)
+
+    # One block at a time goes to Python.
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        mean = summed(lambda x, good, first, _: [x[first].sum(0)]) / n
+        scale = np.sqrt(summed(lambda x, good, first, _: [((x[first] - mean) ** 2).sum(0)]) / n) + 1e-3
+
+        def slopes(w):
+            def one(x, good, first, block):
+                diff = _differences(_standard(x, mean, scale), good, pairs, block)
+                return len(diff), *_slopes(diff, w)
+
+            s = summed(one)
+            return s[0], s[1 : 1 + 2 * d], s[1 + 2 * d :].reshape(2 * d, 2 * d)
+
+        w = _newton(slopes, ridge, rounds)
+        scores = common.write_table(each(lambda x, good, first, _: _standard(x[first], mean, scale) @ w, "block long, v double").select("v"), "scores")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    places = _places(n, n - better)
+    ranks = sorted({int(r) for p in places for r in (np.floor(p), np.ceil(p))})
+    found = _order_statistics(scores, ranks)
+    return Model(mean, scale, w, float(np.mean(np.interp(places, ranks, [found[r] for r in ranks]))))
+
+
+def _order_statistics(scores: DataFrame, ranks: list[int], most: int = 50_000, bins: int = 4096) -> dict[int, float]:
+    """The values ``v`` of these neighbouring ranks, from 0: counted in ever narrower ranges, until the distinct values there are few."""
+    below, found = 0, scores.groupBy("v").agg(F.count("*").alias("n"))
+    while True:
+        at = found.agg(F.count("*").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+        step = (at.hi - at.lo) / bins
+        if at.rows <= most or not step:
+            break
+        place = F.least(F.floor((F.col("v") - at.lo) / step), F.lit(bins - 1))
+        count = dict(found.groupBy(place.alias("bin")).agg(F.sum("n").alias("n")).collect())
+        keys = sorted(count)
+        ends = below + np.cumsum([count[k] for k in keys])
+        i, j = (int(np.searchsorted(ends, r, "right")) for r in (ranks[0], ranks[-1]))
+        if len(keys) == j - i + 1:
+            break
+        below += sum(count[k] for k in keys[:i])
+        found = found.filter(place.between(keys[i], keys[j]))
+    rows = sorted(found.collect())
+    ends = below + np.cumsum([r.n for r in rows])
+    return {r: rows[int(np.searchsorted(ends, r, "right"))].v for r in ranks}
+
+
+def learned_rows(labels: DataFrame, max_labelled: int | None = None) -> DataFrame:
+    """Labelled rows to learn from: all that aren't held out; a caller may ask for so many at most, by hash."""
     rows = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    return rows if max_labelled is None else rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
 def held_out():
@@ -140,21 +250,27 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on the labelled documents; what is sent to executors and driver is bounded by ``max_labelled``."""
+def described(documents: DataFrame) -> DataFrame:
+    """The written ``doc_id``, ``held_out`` and features ``x`` of every document."""
+
+    @F.pandas_udf("array<double>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(t) for t in texts], dtype=object)
+
+    return common.write_table(documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), of(common.text_or_empty()).alias("x")), "features")
 
-    def rows(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                yield pd.DataFrame({"doc_id": some.doc_id, "quality": some.quality, "x": [features(t) for t in some.text]})
 
-    some = F.broadcast(learned_rows(labels, max_labelled))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    found = docs.join(some, "doc_id").select("doc_id", F.col("quality").cast("int"), "text").mapInPandas(rows, "doc_id long, quality int, x array<double>").collect()
-    found = sorted((r.doc_id, r.quality, r.x) for r in found)
-    x = np.array([f for _, _, f in found], dtype=float).reshape(-1, len(FEATURES))
-    return fit(x, np.array([q == 1 for _, q, _ in found], dtype=bool))
+def train(rows: DataFrame, labels: DataFrame, max_labelled: int | None = None, block_rows: int = BLOCK_ROWS) -> Model:
+    """Fit on all labelled rows of ``described``; texts are neither sent nor shuffled."""
+    found = rows.join(learned_rows(labels, max_labelled), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "x")
+    found = common.write_table(found, "labelled")
+    n, better = found.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
+    if n > block_rows and 0 < better < n:
+        return _fit_blocks(found, n, better, block_rows)
+    if not 0 < better < n:
+        return _nothing()
+    some = sorted((r.doc_id, r.quality, r.x) for r in found.collect())
+    return fit(np.array([f for _, _, f in some], dtype=float), np.array([q == 1 for _, q, _ in some], dtype=bool))
 
 
 def score_column(model: Model, text="text"):
@@ -169,16 +285,22 @@ def score_column(model: Model, text="text"):
     return score(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def classify(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, max_labelled: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document."""
-    model = train(documents, labels, max_labelled)
-    scored = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), score_column(model).alias("score"))
+    rows = described(documents)
+    model = train(rows, labels, max_labelled, block_rows)
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array(x.tolist(), dtype=float)) if len(x) else [], dtype=float)
+
+    scored = rows.select("doc_id", "held_out", score("x").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
-def keep_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def keep_quality(documents: DataFrame, labels: DataFrame, max_labelled: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
-    return documents.filter(score_column(train(documents, labels, max_labelled)) >= 0.5)
+    return documents.filter(score_column(train(described(documents), labels, max_labelled, block_rows)) >= 0.5)
 
 
 def op3_quality_bt(spark: SparkSession, sf_dir: str) -> DataFrame:

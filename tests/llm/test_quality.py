@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 from codexflow.llm import quality
 
 
@@ -52,3 +53,26 @@ def test_the_whole_text_is_compressed():
 def test_sample_is_bounded(spark):
     y = spark.range(1000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
     assert quality.learned_rows(y, 100).count() == 100
+
+
+def test_all_labelled_rows_are_fitted_in_blocks(spark):
+    docs, labels = made(600)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    y = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert quality.learned_rows(spark.range(60_001).selectExpr("id as doc_id", "1 as quality")).count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60_001)) > 20_000
+    rows = quality.described(d)
+    whole, blocks = quality.train(rows, y), quality.train(rows, y, block_rows=90)
+    assert abs(whole.mean - blocks.mean).max() < 1e-12 and abs(whole.scale - blocks.scale).max() < 1e-12
+    truth = dict(labels)
+    got = quality.classify(d, y, block_rows=90).collect()
+    assert len(got) == 600
+    assert sum(r.predicted == truth[r.doc_id] for r in got if r.held_out) >= 0.97 * sum(r.held_out for r in got)
+
+
+def test_order_statistics_and_pairs(spark):
+    values = [float((i * 7919) % 1000) / 3 for i in range(3000)]
+    v = spark.createDataFrame([(x,) for x in values], "v double")
+    assert quality._order_statistics(v, [1199, 1200, 1201], most=5, bins=8) == {k: sorted(values)[k] for k in (1199, 1200, 1201)}
+    z = np.arange(10.0)[:, None]
+    diff = quality._differences(z, z[:, 0] != 4, 3)
+    assert {float(x) for x in diff[:, 0] + 4} == {0.0, 1.0, 2.0, 3.0, 5.0, 6.0, 7.0, 8.0, 9.0}
