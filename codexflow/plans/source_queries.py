@@ -122,7 +122,9 @@ def _articles(spark, sf):
         F.lit("<PubmedArticle><PMID>"), F.col("p_partkey").cast("string"), F.lit("</PMID><Article><ArticleTitle>"), "p_name", F.lit(".</ArticleTitle><Journal><Title>Parts</Title>"), date, F.lit("</Journal>"), who, parts,
         F.lit("<Pagination><MedlinePgn>10-20</MedlinePgn></Pagination></Article></PubmedArticle>"),
     )
-    return payloads.pubmed(C.table(spark, sf, "part").select(body.alias("body"))).withColumn("pmid", F.col("extra")["pmid"])
+    # The table is one small file, whose XML is large work: its rows go to all cores before bodies are made.
+    part = C.table(spark, sf, "part").select("p_partkey", "p_name", "p_type").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return payloads.pubmed(part.select(body.alias("body"))).withColumn("pmid", F.col("extra")["pmid"])
 
 
 @query(f"""SELECT 'pmid' || p_partkey AS citation_key, p_name AS title, 'The Group and Lee, Ann' AS author, {_MED} AS year, 'Parts' AS journal, '10--20' AS pages, 'AIM: To see. On ' || p_type || '.' AS abstract, CAST(p_partkey AS VARCHAR) AS pmid FROM part""")

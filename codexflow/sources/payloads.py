@@ -250,18 +250,29 @@ def pubmed(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> Dat
     """PubMed article XML: abstract parts joined with their labels, authors one by one, the year of the
     article's date, else of the issue, else of the issue's free date."""
     b = F.col(body)
-    one = lambda x, path: F.nullif(F.trim(F.xpath_string(x, F.lit(path))), F.lit(""))
+    # Each call of xpath parses the text anew: paths whose last tag isn't there are left out, and what is needed twice is bound.
+    some = lambda x, path, tag=None: F.when(~x.contains(tag or "<" + path.rsplit("/", 1)[-1]), F.lit("")).otherwise(F.xpath_string(x, F.lit(path)))
+    said = lambda v: F.nullif(F.trim(v), F.lit(""))
+    flat = lambda path, tag=None: F.trim(F.regexp_replace(some(b, path, tag), r"\s+", " "))
     each = F.regexp_extract_all(b, F.lit(r"(?s)<Author\b[^>]*>.*?</Author>"), F.lit(0))
-    name = lambda a: F.coalesce(F.nullif(F.concat_ws(", ", one(a, "//LastName"), F.coalesce(one(a, "//ForeName"), one(a, "//Initials"))), F.lit("")), one(a, "//CollectiveName"))
-    who = F.array_join(F.filter(F.transform(each, name), lambda n: n.isNotNull()), " and ")
-    free = B.found(_x(b, "//PubDate/MedlineDate"), B.QUERY_YEAR, 1)
-    year = F.coalesce(*[F.nullif(_x(b, p), F.lit("")) for p in ("//ArticleDate/Year", "//PubDate/Year")], free)
-    doi, pmid = _x(b, "//ArticleId[@IdType='doi']"), F.regexp_replace(_x(b, "//PMID"), r"\D", "")
-    title = F.regexp_replace(_x(b, "//ArticleTitle"), r"\.$", "")
+    facts = lambda a: F.struct(*[some(a, f"//{t}").alias(t) for t in ("LastName", "ForeName", "Initials", "CollectiveName")])
+    name = lambda s: F.coalesce(F.nullif(F.concat_ws(", ", said(s["LastName"]), F.coalesce(said(s["ForeName"]), said(s["Initials"]))), F.lit("")), said(s["CollectiveName"]))
     parts = F.regexp_extract_all(b, F.lit(r"(?s)<AbstractText\b[^>]*>.*?</AbstractText>"), F.lit(0))
-    part = lambda p: F.concat_ws(": ", F.nullif(F.xpath_string(p, F.lit("/AbstractText/@Label")), F.lit("")), one(p, "/AbstractText"))
-    words = F.array_join(F.filter(F.transform(parts, part), lambda p: p != ""), " ")
-    return _record(df, list(keep), entry_type=F.lit("article"), citation_key=B.pubmed_key(doi, pmid, who, year, title), title=title, author=who, year=year, journal=_x(b, "//Journal/Title"), volume=_x(b, "//Volume"), number=_x(b, "//Issue"), pages=B.normalize_pages(_x(b, "//MedlinePgn")), doi=doi, abstract=T.collapse(words), extra=F.create_map(F.lit("pmid"), pmid))
+    part = lambda p: F.struct(some(p, "/AbstractText/@Label", "Label").alias("label"), some(p, "/AbstractText").alias("said"))
+    read = {
+        "who": F.transform(each, facts), "parts": F.transform(parts, part), "free": flat("//PubDate/MedlineDate"), "made": flat("//ArticleDate/Year", "<ArticleDate"), "issued": flat("//PubDate/Year"),
+        "doi": flat("//ArticleId[@IdType='doi']", "<ArticleId"), "pmid": flat("//PMID"), "title": flat("//ArticleTitle"), "pages": flat("//MedlinePgn"),
+    }
+    df = df.withColumns({f"_{k}": v for k, v in read.items()})
+    r = {k: F.col(f"_{k}") for k in read}
+    names = F.array_join(F.filter(F.transform(r["who"], name), lambda n: n.isNotNull()), " and ")
+    free = B.found(r["free"], B.QUERY_YEAR, 1)
+    df = df.withColumns({"_names": names, "_year": F.coalesce(*[F.nullif(r[p], F.lit("")) for p in ("made", "issued")], free)})
+    who, year = F.col("_names"), F.col("_year")
+    doi, pmid = r["doi"], F.regexp_replace(r["pmid"], r"\D", "")
+    title = F.regexp_replace(r["title"], r"\.$", "")
+    words = F.array_join(F.filter(F.transform(r["parts"], lambda p: F.concat_ws(": ", F.nullif(p["label"], F.lit("")), said(p["said"]))), lambda p: p != ""), " ")
+    return _record(df, list(keep), entry_type=F.lit("article"), citation_key=B.pubmed_key(doi, pmid, who, year, title), title=title, author=who, year=year, journal=flat("//Journal/Title", "<Journal"), volume=flat("//Volume"), number=flat("//Issue"), pages=B.normalize_pages(r["pages"]), doi=doi, abstract=T.collapse(words), extra=F.create_map(F.lit("pmid"), pmid))
 
 
 def merge_pubmed(summaries: DataFrame, articles: DataFrame) -> DataFrame:

@@ -317,3 +317,11 @@ def test_support_is_that_of_all_pairs_and_meets_fewer(spark):
     assert {(r.claim_id, r["rank"]): (r.citation_key, r.score) for r in out.collect()} == want
     # Words of a claim meet titles by classes of the best score that these can have.
     assert "level" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pubmed_parses_each_field_once_and_on_all_cores(spark):
+    from codexflow.plans import catalog
+
+    df = catalog.QUERIES["pubmed_records"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("xpath_string(") <= 20
+    assert df.rdd.getNumPartitions() > 1
