@@ -25,3 +25,10 @@ def kept_folder(spark, name: str) -> str:
     """A new folder below the session's checkpoint folder, for tables that one query needs."""
     cut(spark.range(0))
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the session's checkpoint folder, and read back."""
+    path = kept_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

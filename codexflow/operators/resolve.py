@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codexflow.functions import bibliographic as B
 from codexflow.functions import text as T
+from codexflow.operators import lineage
 
 
 def query_fields(value: Column) -> Column:
@@ -99,21 +100,68 @@ def exact_matches(queries: DataFrame, candidates: DataFrame, others_only: bool =
     return q.join(c, "t").filter(ok).groupBy("query_id").agg(F.min_by("citation_key", "ordinal").alias("citation_key"))
 
 
+def _asked_years(pairs: DataFrame) -> DataFrame:
+    """A query's year meets the same year or none; a query without a year meets any."""
+    ask = lambda any_year, year: F.struct(F.lit(any_year).alias("any_year"), year.alias("c_year"))
+    asks = F.when(F.col("q_year") == "", F.array(ask(True, F.lit("")))).otherwise(F.array(ask(False, F.col("q_year")), ask(False, F.lit(""))))
+    return pairs.withColumn("ask", F.explode(asks)).select("*", "ask.*").drop("ask")
+
+
+def _size_level(n: Column) -> Column:
+    """Sizes up to 16 have their own level, larger ones four levels for each doubling."""
+    return F.when(n <= 16, n).otherwise(F.floor(F.log2(n / 16) * 4) + 16).cast("int")
+
+
+def similar_sets(asked: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs of distinct word sets ``q`` and ``c`` with their Jaccard similarity ``score``, at least ``least``.
+
+    Sets of n and m words share ``o >= least / (1 + least) * (n + m)``, so they
+    meet in the rarest ``n - o + 1`` and ``m - o + 1`` of their words.
+    """
+    often = sets.select(F.explode("c").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+
+    def ordered(df: DataFrame, c: str) -> DataFrame:
+        words = df.select(c, F.explode(c).alias("word")).join(often, "word", "left")
+        by = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word")))
+        return words.groupBy(c).agg(by.alias("by")).withColumn("n", F.size(c))
+
+    # Half of the last digit that is kept, and a little for the doubles.
+    low = least - 1e-6
+    common = lambda n, m: F.greatest(F.ceil((n + m) * (low / (1 + low)) - 1e-9), F.lit(1))
+    q = ordered(asked, "q").withColumn("level", F.explode(F.sequence(_size_level(F.ceil(F.col("n") * low)), _size_level(F.floor(F.col("n") / low)))))
+    smallest = F.greatest(F.when(F.col("level") <= 16, F.col("level")).otherwise(F.floor(16 * F.pow(F.lit(2.0), (F.col("level") - 16) / 4))), F.ceil(F.col("n") * low))
+    q = q.select("q", "n", "level", F.posexplode(F.slice("by", F.lit(1), (F.col("n") - common(F.col("n"), smallest) + 1).cast("int"))).alias("i", "w")).select("q", "n", "level", "i", "w.word")
+    c = ordered(sets, "c").withColumnRenamed("n", "m")
+    c = c.select("c", "m", _size_level(F.col("m")).alias("level"), F.posexplode(F.slice("by", F.lit(1), (F.col("m") - F.ceil(F.col("m") * low - 1e-9) + 1).cast("int"))).alias("j", "w")).select("c", "m", "level", "j", "w.word")
+    need = common(F.col("n"), F.col("m"))
+    pairs = q.join(c, ["word", "level"]).filter((F.col("i") <= F.col("n") - need) & (F.col("j") <= F.col("m") - need)).select("q", "c").distinct()
+    return pairs.withColumn("score", F.round(T.jaccard(F.col("q"), F.col("c")), 6)).filter(F.col("score") >= least)
+
+
 def catalog_matches(queries: DataFrame, candidates: DataFrame, least: float = 0.6) -> DataFrame:
-    """The candidate with the highest Jaccard similarity of title words, at least ``least``."""
-    q = queries.select("query_id", T.catalog_tokens(F.col("title")).alias("q"), T.text("year").alias("q_year"))
-    c = candidates.select("citation_key", T.catalog_tokens(F.col("title")).alias("c"), T.text("year").alias("c_year"))
-    words = c.select("citation_key", F.explode("c").alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("often"))
-    asked = q.select("query_id", F.size("q").alias("n"), F.explode("q").alias("word")).join(often, "word")
-    rank = Window.partitionBy("query_id").orderBy("often", "word")
-    # Of a query's n words a match shares at least least * n, so one of the rarest n - that + 1.
-    asked = asked.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    pairs = asked.select("query_id", "word").join(words, "word").select("query_id", "citation_key").distinct()
-    scored = pairs.join(q, "query_id").join(c, "citation_key").withColumn("score", F.round(T.jaccard(F.col("q"), F.col("c")), 6))
-    ok = (F.col("score") >= least) & ((F.col("q_year") == "") | (F.col("c_year") == "") | (F.col("q_year") == F.col("c_year")))
+    """The candidate with the highest Jaccard similarity of title words, at least ``least``.
+
+    Candidates of equal words and year are told by their first key. No set is
+    more similar than an equal one, so only queries without such a candidate
+    are compared with other sets.
+    """
+    words = F.array_sort(T.catalog_tokens(F.col("title")))
+    q = lineage.written(queries.select("query_id", words.alias("q"), T.text("year").alias("q_year")).filter("size(q) > 0"), "queries")
+    c = candidates.select("citation_key", words.alias("c"), T.text("year").alias("c_year")).filter("size(c) > 0")
+    years = c.groupBy("c", "c_year").agg(F.min("citation_key").alias("citation_key"))
+    both = F.explode(F.array(F.struct(F.lit(False).alias("any_year"), F.col("c_year")), F.struct(F.lit(True).alias("any_year"), F.lit("").alias("c_year"))))
+    firsts = years.select("c", "citation_key", both.alias("b")).groupBy("c", "b.any_year", "b.c_year").agg(F.min("citation_key").alias("citation_key"))
+    firsts = lineage.written(firsts, "titles")
+    on = ["c", "any_year", "c_year"]
+    same = _asked_years(q.withColumnRenamed("q", "c")).join(firsts, on).select("query_id", F.lit(1.0).alias("score"), "citation_key")
+    same = lineage.written(same.groupBy("query_id", "score").agg(F.min("citation_key").alias("citation_key")), "same")
+    rest = q.join(same, "query_id", "left_anti")
+    if not rest.limit(1).count():
+        return same.select("query_id", "citation_key", "score")
+    pairs = similar_sets(rest.select("q").distinct(), firsts.filter("any_year").select("c"), least)
+    found = _asked_years(rest.join(pairs, "q")).join(firsts, on).select("query_id", "score", "citation_key")
     best = F.min(F.struct((-F.col("score")).alias("s"), "citation_key"))
-    return scored.filter(ok).groupBy("query_id").agg(best.alias("b")).select("query_id", "b.citation_key", (-F.col("b.s")).alias("score"))
+    return same.unionByName(found).groupBy("query_id").agg(best.alias("b")).select("query_id", "b.citation_key", (-F.col("b.s")).alias("score"))
 
 
 #: The order in which sources are asked (fixed values).

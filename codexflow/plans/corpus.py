@@ -29,7 +29,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bibliographic entry for each document; copies of a text agree in title, year and author."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    words = F.filter(F.split("text", "[ \n\t]+"), lambda x: x != "")
+    # The first 40 words are used; the rest of a text stays one piece.
+    words = F.filter(F.split("text", "[ \n\t]+", 42), lambda x: x != "")
     n = F.length("text")
     word = lambda a, b: F.array_join(F.slice("words", a, b), " ")
     out = docs.join(labels, "doc_id", "left").withColumn("words", words)
