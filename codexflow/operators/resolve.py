@@ -1,8 +1,8 @@
 """Verification, matching and resolution of entries against candidates.
 
-Queries meet candidates by shared title words, never by a cross join. Words in
-very many titles are left to the rarer ones: two titles alike enough share
-their rarer words as well, so pairs come from the rarest words of each query.
+Queries meet candidates by shared title words, never by a cross join, and only
+rare words make pairs. What very many titles have in common is told by groups
+of candidates that hold their first ones.
 """
 
 from __future__ import annotations
@@ -44,43 +44,128 @@ def match_status(score: Column, doi: Column) -> Column:
     return F.when(score.isNull(), "not_found").when(T.filled(doi).isNotNull() & (score >= 0.95), "exact").when(score >= 0.75, "high_confidence").otherwise("ambiguous")
 
 
-def candidate_pairs(queries: DataFrame, candidates: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs ``(query_id, citation_key)`` whose titles share at least ``least`` of the query's words.
-
-    The query's words are ranked by how many titles have them; the rarest
-    ``n - ceil(least * n) + 1`` must include a shared one.
+#: A word of more candidates is frequent: those meet by groups of what they share, not in pairs.
+RARE = 64
+#: More frequent words than these in one title aren't taken in all their combinations.
+MANY = 12
+#: Groups of more candidates are asked for their best ones.
+SMALL = 16
+#: Shares of a query's words, in tenths, that the score tells apart.
+_SHARES = (9, 7, 5)
+
+
+def _by_rarity(titles: DataFrame, often: DataFrame) -> DataFrame:
+    """``by``: the words of each ``title`` with how many candidates' titles have them, the rarest first."""
+    words = titles.select("title", F.explode("words").alias("word")).join(often, "word", "left")
+    by = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word")))
+    found = words.groupBy("title").agg(by.alias("by"))
+    words = lambda kept: F.array_sort(F.transform(kept, lambda x: x["word"]))
+    return found.select("title", "by", words(F.col("by")).alias("words"), words(F.filter("by", lambda x: x["often"] > RARE)).alias("frequent"))
+
+
+def _subsets(words: Column) -> Column:
+    """All combinations of words, each as its size and a text; the empty one too."""
+    start = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("grp")))
+    more = lambda w: lambda x: F.struct((x["n"] + 1).alias("n"), F.concat(x["grp"], F.lit(" "), w).alias("grp"))
+    return F.aggregate(words, start, lambda made, w: F.concat(made, F.transform(made, more(w))))
+
+
+def _list_keys(surname: Column, year: Column, near: tuple[Column, ...]) -> Column:
+    """The lists of a group by surname and year: ``near`` are years as numbers. Missing values have none."""
+    key = lambda kind, a, b: F.concat_ws("|", F.lit(kind), a, b)
+    any_, has_s, has_y = F.lit(""), surname != "", year != ""
+    keys = [key("all", any_, any_), F.when(has_s, key("s", surname, any_)), F.when(has_y, key("y", any_, year)), F.when(has_s & has_y, key("sy", surname, year))]
+    for n in near:
+        keys += [key("n", any_, n.cast("string")), F.when(has_s, key("sn", surname, n.cast("string")))]
+    made = [F.when(n.isNotNull(), k) if i >= 4 else k for i, (k, n) in enumerate(zip(keys, [F.lit(0)] * 4 + [n for n in near for _ in (0, 1)]))]
+    return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+
+def scored_candidates(q: DataFrame, c: DataFrame, keep: int) -> DataFrame:
+    """Scores of candidates ``c`` for queries ``q``, at least the best ``keep`` of each query.
+
+    Titles of equal words are one. Titles with a rare word in common meet by it,
+    and their share is counted. What else is in common are frequent words: titles
+    are grouped by every combination of theirs that some query asks for, one
+    that makes up 0.5, 0.7 or 0.9 of its words. A group's lists, of all and of
+    each surname, year and neighbouring year, hold their first ``keep``: whoever
+    stands before a candidate there has no lower score, so a query's best are
+    in its lists, and pairs don't grow with the square of a group. Titles of
+    more than ``MANY`` frequent words meet by words.
     """
-    words = candidates.select("citation_key", F.explode(T.tokens(F.col("title"))).alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("often"))
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("title"))).alias("word")).join(often, "word", "left")
-    rank = Window.partitionBy("query_id").orderBy(F.coalesce("often", F.lit(0)), "word")
-    size = Window.partitionBy("query_id")
-    asked = asked.withColumns({"_r": F.row_number().over(rank), "_n": F.count("*").over(size)}).filter(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * least) + 1)
-    return asked.select("query_id", "word").join(words, "word").select("query_id", "citation_key").distinct()
+    titles = lambda df: df.select("title", "words").dropDuplicates(["title"])
+    often = titles(c).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+    held = lineage.written(_by_rarity(titles(c), often), "candidates").withColumn("long", F.size("frequent") > MANY)
+    ask = lineage.written(_by_rarity(titles(q), often), "queries").withColumn("long", F.size("frequent") > MANY)
+    score = F.round(match_score(*map(F.col, ("share", "q_surname", "c_surname", "q_year", "c_year"))), 4)
+    scored = lambda df: df.select("query_id", "work", "citation_key", "has_doi", "year", score.alias("score"))
+
+    # The rarest n - need + 1 of a query's words have one of those in common.
+    n = F.size("words")
+    need = {t: F.floor((n * t + 9) / 10).cast("int") for t in _SHARES}
+    prefix = F.slice("by", F.lit(1), n - need[5] + 1)
+
+    def met(asked: DataFrame, posts: DataFrame, of_query: Column, of_candidate: Column) -> DataFrame:
+        a = asked.select("title", F.col("words").alias("q_words"), F.explode(F.transform(of_query, lambda x: x["word"])).alias("word"))
+        p = posts.select(F.col("title").alias("grp"), F.col("words").alias("c_words"), F.explode(F.transform(of_candidate, lambda x: x["word"])).alias("word"))
+        return a.join(p, "word").withColumn("share", T.overlap(F.col("q_words"), F.col("c_words"))).filter("share >= 0.5").select("title", "grp", "share")
+
+    rare = lambda x: F.filter(x, lambda w: (w["often"] > 0) & (w["often"] <= RARE))
+    common = lambda x: F.filter(x, lambda w: w["often"] > RARE)
+    direct = met(ask, held, rare(prefix), rare(F.col("by")))
+    if ask.filter("long").limit(1).count():
+        direct = direct.unionByName(met(ask.filter("long"), held, common(prefix), common(F.col("by"))))
+    if held.filter("long").limit(1).count():
+        direct = direct.unionByName(met(ask.filter("not long"), held.filter("long"), common(prefix), common(F.col("by"))))
+    direct = lineage.written(direct.distinct(), "direct")
+
+    sets = F.explode(F.filter(_subsets(F.col("frequent")), lambda x: (x["n"] > 0) & ((x["n"] == F.col("n5")) | (x["n"] == F.col("n7")) | (x["n"] == F.col("n9")))))
+    subsets = ask.filter("not long").select("title", "frequent", *[need[t].alias(f"n{t}") for t in _SHARES]).filter("size(frequent) >= n5").withColumn("x", sets)
+    share = F.when(F.col("x.n") == F.col("n9"), 0.9).when(F.col("x.n") == F.col("n7"), 0.7).otherwise(0.5)
+    subsets = lineage.written(subsets.select("title", "x.grp", share.alias("share")), "subsets")
+    having = held.filter("not long").select("title", F.explode(_subsets(F.col("frequent"))).alias("x")).filter("x.n > 0").select("title", "x.grp")
+    having = having.join(subsets.select("grp").distinct(), "grp", "left_semi").select("title", "grp")
+    having = having.unionByName(direct.select(F.col("grp").alias("title"), "grp").distinct())
+    members = lineage.written(having.join(c.drop("words"), "title").drop("title"), "groups")
+    large = lineage.written(members.groupBy("grp").agg(F.count("*").alias("held")).filter(F.col("held") > SMALL).select("grp"), "large")
+    asked = lineage.written(direct.unionByName(subsets).join(q.drop("words"), "title").drop("title"), "asked")
+    small = scored(asked.join(members.join(large, "grp", "left_anti"), "grp"))
+
+    number = F.col("c_year").try_cast("int").cast("long")
+    lists = members.join(large, "grp").withColumn("list", F.explode(_list_keys(F.col("c_surname"), F.col("c_year"), (number,))))
+    first = Window.partitionBy("grp", "list").orderBy("year", "citation_key", "work")
+    lists = lists.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= keep).drop("_r")
+    number = F.col("q_year").try_cast("int").cast("long")
+    asks = asked.join(large, "grp").withColumn("list", F.explode(_list_keys(F.col("q_surname"), F.col("q_year"), (number - 1, number + 1))))
+    return small.unionByName(scored(asks.join(lists, ["grp", "list"])))
 
 
 def verify(queries: DataFrame, candidates: DataFrame, keep: int = 4) -> DataFrame:
     """The best candidate and alternates of each query ``(query_id, title, author, year)``.
 
     One row for each kept candidate, by ``rank``; queries without any have one
-    row with the status ``not_found``.
+    row with the status ``not_found``. A candidate counts if it has at least
+    half of the query's title words.
     """
-    # What the score needs is made once a row, not once a pair; a work's doi and title go as a hash of 64 bits.
-    facts = lambda p: [T.tokens(F.col("title")).alias(f"{p}_words"), first_surname(F.col("author")).alias(f"{p}_surname"), F.trim(T.text("year")).alias(f"{p}_year")]
-    work = F.xxhash64(F.lower(T.text("doi")), T.collapse(F.lower(T.text("title")))).alias("work")
-    q, c = queries.select("query_id", *facts("q")), candidates.select("citation_key", "year", "doi", work, *facts("c"))
-    pairs = candidate_pairs(queries, candidates).join(q, "query_id").join(c, "citation_key")
-    # Sharing a rare word is necessary; the shared part decides.
-    pairs = pairs.withColumn("share", T.overlap(F.col("q_words"), F.col("c_words"))).filter("share >= 0.5").drop("q_words", "c_words")
-    score = match_score(*map(F.col, ("share", "q_surname", "c_surname", "q_year", "c_year")))
-    pairs = pairs.withColumn("score", F.round(score, 4))
-    # Works that agree in doi, title and year count once.
-    same = Window.partitionBy("query_id", "work", T.text("year")).orderBy("citation_key")
-    pairs = pairs.withColumn("_s", F.row_number().over(same)).filter("_s = 1")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), T.text("year"), "citation_key")
-    best = pairs.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= keep).select("query_id", "rank", "citation_key", "score", "doi")
-    out = queries.select("query_id").join(best, "query_id", "left").withColumn("rank", F.coalesce("rank", F.lit(1)))
-    return out.select("query_id", "rank", "citation_key", "score", match_status(F.col("score"), F.col("doi")).alias("status"))
+    facts = lambda p: [F.array_sort(T.tokens(F.col("title"))).alias("words"), first_surname(F.col("author")).alias(f"{p}_surname"), F.trim(T.text("year")).alias(f"{p}_year")]
+    title = F.array_join("words", " ").alias("title")
+    # Works that agree in doi, title and year count once: so do their words. A work's doi and title go as a hash of 64 bits.
+    work = F.xxhash64(F.lower(T.text("doi")), T.collapse(F.lower(T.text("title"))), T.text("year")).alias("work")
+    c = candidates.select(work, "citation_key", T.filled("doi").isNotNull().alias("has_doi"), T.text("year").alias("year"), *facts("c"))
+    c = c.groupBy("work").agg(F.min(F.struct("citation_key", "has_doi", "year", "words", "c_surname", "c_year")).alias("first")).select("work", "first.*")
+    # Of candidates that no query can tell apart the first ones are enough.
+    same = Window.partitionBy("words", "c_surname", "year").orderBy("citation_key", "work")
+    c = c.withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= keep).drop("_r")
+    c = lineage.written(c.filter("size(words) > 0").select("*", title), "works")
+    asked = lineage.written(queries.select("query_id", *facts("q")).select("*", title), "asked")
+    pairs = scored_candidates(asked, c, keep).repartition("query_id")
+    # A candidate found in several ways has its highest score.
+    pairs = pairs.groupBy("query_id", "work").agg(F.max("score").alias("score"), *[F.first(x).alias(x) for x in ("citation_key", "has_doi", "year")])
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "year", "citation_key", "work")
+    best = pairs.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= keep).select("query_id", "rank", "citation_key", "score", "has_doi")
+    out = asked.select("query_id").join(best, "query_id", "left").withColumn("rank", F.coalesce("rank", F.lit(1)))
+    doi = F.when(F.col("has_doi"), "x")
+    return out.select("query_id", "rank", "citation_key", "score", match_status(F.col("score"), doi).alias("status"))
 
 
 def exact_matches(queries: DataFrame, candidates: DataFrame, others_only: bool = False) -> DataFrame:
