@@ -245,12 +245,14 @@ def _group_links(groups: DataFrame, roots: DataFrame, texts: DataFrame, words: i
     sizes = common.write_table(sizes.select("grp", "main", "held", "asked"), "sizes")
     # Members meet their group's sizes in one join, whose rows are read twice.
     at = common.write_table(at.join(sizes, "grp").withColumn("query", F.col("root") != F.col("main")), "members")
+    # A member's text is joined once, and then sent to its blocks.
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     place = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    data = at.select("grp", "node", "root", F.lit(False).alias("query"), place("held").alias("i"), every("asked").alias("j"))
-    asked = at.filter("query").select("grp", "node", "root", F.lit(True).alias("query"), place("asked").alias("j"), every("held").alias("i"))
-    rows = data.unionByName(asked).join(texts.select("node", "packed"), "node")
+    every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    data = F.transform(every("asked"), lambda j: F.struct(F.lit(False).alias("query"), place("held").alias("i"), j.alias("j")))
+    asked = F.transform(every("held"), lambda i: F.struct(F.lit(True).alias("query"), i.alias("i"), place("asked").alias("j")))
+    sent = F.explode(F.when(F.col("query"), F.concat(data, asked)).otherwise(data))
+    rows = at.join(texts.select("node", "packed"), "node").select("grp", "node", "root", "packed", sent.alias("to")).select("grp", "node", "root", "packed", "to.*")
 
     def compare(key, table):
         sets = _Sets(words)
